@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, spotsigs
+from . import ngram_join, secrets, spotsigs, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """opN_<name> of each operator N."""
     return {
+        "op1_secret_scan": lambda s, d: secrets.secret_scan(_docs(s, d)),
         "op2_ngram_join": lambda s, d: ngram_join.jaccard_join(_docs(s, d)),
         "op3_fingerprints": lambda s, d: spotsigs.fingerprint_pairs(_docs(s, d)),
+        "op6_token_counts": lambda s, d: token_counts.token_counts(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_ngram_join": ngram_join.ORACLE, "op3_fingerprints": spotsigs.ORACLE}
+    return {"op1_secret_scan": secrets.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_fingerprints": spotsigs.ORACLE}
