@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, secrets, spotsigs, token_counts
+from . import language_id, ngram_join, packing, quality, secrets, spotsigs, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": lambda s, d: secrets.secret_scan(_docs(s, d)),
         "op2_ngram_join": lambda s, d: ngram_join.jaccard_join(_docs(s, d)),
         "op3_fingerprints": lambda s, d: spotsigs.fingerprint_pairs(_docs(s, d)),
+        "op4_language_id": lambda s, d: language_id.identify(_docs(s, d)),
+        "op5_quality": lambda s, d: quality.classify(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_token_counts": lambda s, d: token_counts.token_counts(_docs(s, d)),
+        "op7_packing": lambda s, d: packing.pack(_docs(s, d)),
     }
 
 
