@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join, packing, quality, secrets, spotsigs, token_counts
+from . import knn_join, language_id, mixing, ngram_join, packing, quality, secrets, spotsigs, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": lambda s, d: quality.classify(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_token_counts": lambda s, d: token_counts.token_counts(_docs(s, d)),
         "op7_packing": lambda s, d: packing.pack(_docs(s, d)),
+        "op8_topk_search": lambda s, d: knn_join.knn_join(s.read.parquet(f"{d}/embeddings.parquet")),
+        "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op1_secret_scan": secrets.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_fingerprints": spotsigs.ORACLE}
+    return {"op1_secret_scan": secrets.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_fingerprints": spotsigs.ORACLE, "op8_topk_search": knn_join.ORACLE, "op9_mixing": mixing.ORACLE}
