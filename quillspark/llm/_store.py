@@ -41,10 +41,11 @@ def discard(df: DataFrame) -> None:
 def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is (left_semi) or isn't (left_anti) among ids, a materialised table of distinct keys.
 
-    Up to BROADCAST_IDS keys are broadcast, after counting them; more are joined by shuffle.
+    Up to BROADCAST_IDS keys are broadcast, after counting them; more are joined by shuffle. A null key equals a null key.
     """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, how)
+    ids = ids.select(F.col(key).alias("_key_"))
+    return df.join(F.broadcast(ids) if few else ids, df[key].eqNullSafe(ids["_key_"]), how)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn_join, language_id, mixing, ngram_join, packing, quality, secrets, spotsigs, token_counts
+from . import knn_join, language_id, mixing, ngram_join, packing, pii, quality, secrets, spotsigs, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": lambda s, d: packing.pack(_docs(s, d)),
         "op8_topk_search": lambda s, d: knn_join.knn_join(s.read.parquet(f"{d}/embeddings.parquet")),
         "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)),
+        "op10_pii": lambda s, d: pii.detect(_docs(s, d)),
     }
 
 
