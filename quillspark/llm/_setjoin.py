@@ -1,23 +1,32 @@
 """Exact Jaccard self-join of documents seen as sets of 64-bit tokens.
 
 1. One pass makes each document's set, names it by a digest and counts, over all
-   documents, how many sets hold each token, in a table of fixed size (BUCKETS)
-   addressed by the token's hash. The counts only order tokens and sort them into
-   classes, so buckets shared by several tokens cost time at most, never a result.
+   documents, how many sets hold each token and how many hold each word, in two
+   tables of fixed size (BUCKETS) addressed by hash. The counts only sort tokens into
+   classes and order them, by class and then by the product of their words' counts,
+   so buckets shared by several tokens cost time at most, never a result.
 2. Documents with equal sets collapse into one set.
 3. Each set, ordered from rare tokens to frequent ones, emits signatures from a
-   prefix. A token of class c enters in combinations of c tokens, and the prefix is
-   extended until sum(max(0, n_c - c + 1)) exceeds the number of tokens that a
-   partner may lack. Whatever tokens are lacking, some class then keeps c shared
-   tokens, so two similar sets share a combination.
-4. Sets that share a signature, and whose sizes and positions allow the
-   threshold, are candidates; the overlap of their whole sets is then counted.
+   prefix. A token of class c enters in combinations of c tokens. The prefix is
+   extended until sum(max(0, n_c - c + 1)) is the number of tokens that a partner may
+   lack plus k. Each lacking token lowers that sum by one at most, so at least k
+   combinations of two similar sets are equal.
+4. Pairs of sets with k equal signatures, whose sizes and first common positions
+   allow the threshold, are candidates.
+   Before that, one signature in SAMPLE is joined alone, to see which sets belong
+   together: sets with the same smallest acquaintance form a family. All pairs of a
+   family are candidates, and no pair of one need be met again, once for each of its
+   many equal signatures, when all signatures are joined.
+5. Candidates are grouped around the smallest set that they are candidates with, large
+   groups split in blocks, so that each set travels once for many pairs; the overlap
+   of the whole sets is counted there.
 
 Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,22 +39,23 @@ from pyspark.sql import functions as F
 from ._store import BROADCAST_IDS, discard, materialise, pick
 from ._vec import mix, slices
 
-BUCKETS = 1 << 21
+BUCKETS = 1 << 20
 CHUNK = 1 << 15
 
-#: texts without nulls -> for each text, its tokens as uint64, repeats allowed
-SetMaker = Callable[[pa.Array], Iterator[np.ndarray]]
+#: texts without nulls -> for each text, its tokens as uint64, repeats allowed, and the hashes of two words of each
+SetMaker = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 @dataclass(frozen=True)
 class Join:
-    """What to join: how sets are made, the threshold, and the document frequencies beyond which tokens go in pairs and triples."""
+    """What to join: how sets are made, the threshold, the document frequencies beyond which tokens go in pairs and triples, whether to partition by length, and how many signatures must be common (k)."""
 
     sets: SetMaker
     threshold: float
     pairs_from: int = 1000
     triples_from: int = 20000
     by_length: bool = False
+    common: int = 8
 
 
 def set_id(s: np.ndarray) -> int:
@@ -54,61 +64,71 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([h], np.uint64))[0] >> np.uint64(1))
 
 
-def _sets(batches, maker: SetMaker) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, sorted distinct sets) of slices of (doc_id, text) batches, without null ids and empty sets."""
+def _sets(batches, maker: SetMaker) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """[(doc_id, sorted distinct set, first and second word of each token)] of slices of (doc_id, text) batches, without null ids and empty sets."""
     for b in batches:
         for row, texts in slices(b.column(1)):
             ids = b.column(0).slice(row, len(texts)).to_pylist()
-            got = [(i, np.unique(s)) for i, s in zip(ids, maker(texts)) if i is not None]
-            got = [(i, s) for i, s in got if len(s)]
-            yield [i for i, _ in got], [s for _, s in got]
+            out = []
+            for i, (s, u, v) in zip(ids, maker(texts)):
+                if i is not None and len(s):
+                    s, first = np.unique(s, return_index=True)
+                    out.append((i, s, u[first], v[first]))
+            if out:
+                yield out
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    """Place of a hash in the tables."""
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def profile(docs: DataFrame, job: Join) -> DataFrame:
     """One pass: rows (doc_id, set_id, n) of documents, and rows (chunk, counts) of the token table."""
 
     def run(batches):
-        table = np.zeros(BUCKETS, np.uint32)
-        for ids, sets in _sets(batches, job.sets):
-            if not ids:
-                continue
-            np.add.at(table, (np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "set_id": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "chunk": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
-        for k in range(BUCKETS // CHUNK):
+        table = np.zeros(2 * BUCKETS, np.uint32)  # tokens, then words
+        for found in _sets(batches, job.sets):
+            np.add.at(table, np.concatenate([bucket(s) for _, s, _, _ in found]), 1)
+            np.add.at(table, np.concatenate([BUCKETS + np.unique(bucket(np.concatenate([u, v]))) for _, _, u, v in found]), 1)
+            n = len(found)
+            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array([set_id(s) for _, s, _, _ in found], pa.int64()), "n": pa.array([len(s) for _, s, _, _ in found], pa.int32()), "chunk": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+        for k in range(2 * BUCKETS // CHUNK):
             part = table[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
-                yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "chunk": pa.array([k], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "chunk": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     return materialise(pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n int, chunk int, counts binary"), "sets")
 
 
 def token_counts(prof: DataFrame) -> np.ndarray:
-    """The token table added up over all tasks: BUCKETS counts, however large the input."""
+    """The tables added up over all tasks: 2 * BUCKETS counts, however large the input."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32)
         if total:
             yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
     rows = prof.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros(BUCKETS, np.uint32)
+    table = np.zeros(2 * BUCKETS, np.uint32)
     for r in rows:
         table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint32)
     return table
 
 
-def frequencies(table: np.ndarray, job: Join) -> tuple[np.ndarray, int, int]:
-    """(estimated document frequency of each bucket's most frequent token, bounds of classes 2 and 3).
+def frequencies(table: np.ndarray, job: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each token bucket, logarithm of the count of each word bucket).
 
-    What other tokens put into a bucket is about the mean; the bounds stay clear of its scatter.
+    What other tokens put into a bucket is about the mean; the bounds of the classes stay clear of its scatter.
     """
-    mean = float(table.mean())
-    est = np.maximum(table.astype(np.int64) - int(mean), 1).astype(np.uint32)
-    noise = int(6 * mean**0.5)
-    return est, job.pairs_from + noise, job.triples_from + noise
+    tokens, words = table[:BUCKETS].astype(np.int64), table[BUCKETS:].astype(np.int64)
+    est = tokens - int(tokens.mean())
+    noise = int(6 * tokens.mean() ** 0.5)
+    classes = 1 + (est > job.pairs_from + noise).astype(np.int8) + (est > job.triples_from + noise).astype(np.int8)
+    return classes, np.log(np.maximum(words - int(words.mean()), 1)).astype(np.float32)
 
 
 def lacking(n: int, share: float) -> int:
@@ -127,112 +147,194 @@ def prefix(n: int, classes: np.ndarray, lack: int) -> int:
     return min(n, c1 + c2 + (lack - c1 - max(0, c2 - 1)) + 3)
 
 
-def signatures(s: np.ndarray, freq: np.ndarray, bound2: int, bound3: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, position, in the shorter side's prefix) of a sorted distinct set."""
+def ordered(s: np.ndarray, u: np.ndarray, v: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set from rare tokens to frequent ones, with their classes; the order is one for all sets."""
+    c = classes[bucket(s)]
+    order = np.lexsort((s, words[bucket(u)] + words[bucket(v)], c))
+    return s[order], c[order]
+
+
+def signatures(s: np.ndarray, classes: np.ndarray, t: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(signature, position, in the shorter side's prefix) of an ordered set, and how many of them a partner must have."""
     n = len(s)
-    f = freq[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    order = np.lexsort((s, f))
-    s, f = s[order], f[order]
-    classes = 1 + (f > bound2).astype(np.int8) + (f > bound3)
-    long = prefix(n, classes, lacking(n, t))
-    short = prefix(n, classes, lacking(n, 2 * t / (1 + t)))
+    most = sum(max(0, int((classes == c).sum()) - c + 1) for c in (1, 2, 3))
+    tiny = n <= int(int(3 / t) / t) + 1  # so small that combinations may run out: single tokens too
+    k = 1 if tiny else max(1, min(k, most - lacking(n, t)))
+    long = prefix(n, classes, lacking(n, t) + k - 1)
+    short = prefix(n, classes, lacking(n, 2 * t / (1 + t)) + k - 1)
     c1, c2 = int((classes[:long] == 1).sum()), int((classes[:long] <= 2).sum())
     sig, pos, ends = [s[:c1]], [np.arange(c1)], [np.arange(c1)]
-    for lo, hi, k in ((c1, c2, 2), (c2, long, 3)):
-        if hi - lo >= k:
-            at = np.array(list(combinations(range(lo, hi), k)), np.int64)
+    for lo, hi, c in ((c1, c2, 2), (c2, long, 3)):
+        if hi - lo >= c:
+            at = np.array(list(combinations(range(lo, hi), c)), np.int64)
             h = s[at[:, 0]]
-            for j in range(1, k):
+            for j in range(1, c):
                 h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + s[at[:, j]])
-            # Of classes before this one, c - 1 tokens may be shared unseen: the bound on overlap allows for one.
-            sig, pos, ends = sig + [h], pos + [np.maximum(at[:, 0] - (k == 3), 0)], ends + [at[:, -1]]
-    if n <= int(int(3 / t) / t) + 1:  # so small that combinations may run out: single tokens too
+            # Of classes before this one, one token may be shared unseen: the bound on overlap allows for it.
+            sig, pos, ends = sig + [h], pos + [np.maximum(at[:, 0] - (c == 3), 0)], ends + [at[:, -1]]
+    if tiny:
         plain = lacking(n, t) + 1
         sig, pos, ends = sig + [mix(s[:plain] ^ np.uint64(0x5851F42D4C957F2D))], pos + [np.arange(plain)], ends + [np.zeros(plain, np.int64)]
-    return np.concatenate(sig), np.concatenate(pos), np.concatenate(ends) < short
+    return np.concatenate(sig), np.concatenate(pos), np.concatenate(ends) < short, k
 
 
-def length_part(n: int, t: float) -> int:
+#: Factors of 1 / threshold that a length partition spans.
+SPAN = 4
+
+
+def length_part(n: float, t: float) -> int:
     """Number of the length partition: sets of similar size lie in one partition or two neighbouring ones."""
-    return int(np.floor(np.log(n) / -np.log(t) + 1e-9))
+    return int(np.floor(np.log(n) / -np.log(t) / SPAN + 1e-9))
+
 
+#: Of the signatures, one in so many shows the families; so many of these must two sets share to be acquainted.
+SAMPLE, ACQUAINTED = 16, 3
 
-def _emit(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
-    """Rows (sig, set_id, n, pos, role): role 1 may be the shorter set of a pair, 2 the longer, 3 either."""
-    freq, bound2, bound3 = frequencies(table, job)
-    shared = docs.sparkSession.sparkContext.broadcast(freq)
+
+def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndarray, np.ndarray] | None = None, sample: int = 1) -> DataFrame:
+    """Rows (sig, set_id, meta, family); family 0 is none.
+
+    meta packs the size of the set, the position, k and the role: 1 may be the shorter set of a pair, 2 the longer, 3 either.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((*frequencies(table, job), *(families or (np.zeros(0, np.int64),) * 2)))
     t = job.threshold
 
     def run(batches):
-        freq, seen = shared.value, set()
-        for _, sets in _sets(batches, job.sets):
+        (classes, words, known, family), seen = shared.value, set()
+        for found in _sets(batches, job.sets):
             out: list[list[np.ndarray]] = []
-            for s in sets:
-                i = set_id(s)
+            for _, s, u, v in found:
+                i, n = set_id(s), len(s)
                 if i in seen:
                     continue
                 seen.add(i)
-                sig, pos, short = signatures(s, freq, bound2, bound3, t)
+                sig, pos, short, k = signatures(*ordered(s, u, v, classes, words), t, job.common)
+                role = np.where(short, 3, 2)
                 if job.by_length:
-                    p = length_part(len(s), t)
-                    home, visit = mix(sig + np.uint64(p * 2 + 1)), mix(sig[short] + np.uint64(p * 2 + 3))
-                    sig, pos, role = np.concatenate([home, visit]), np.concatenate([pos, pos[short]]), np.concatenate([np.where(short, 3, 2), np.ones(len(visit), np.int64)])
-                else:
-                    role = np.where(short, 3, 2)
-                out.append([sig.view(np.int64), np.full(len(sig), i, np.int64), np.full(len(sig), len(s), np.int32), pos.astype(np.int32), role.astype(np.int8)])
+                    p = length_part(n, t)
+                    home = mix(sig + np.uint64(2 * p + 1))
+                    if length_part(n / t + 1, t) > p:  # its longer partners may lie in the next partition
+                        sig, pos, role = np.concatenate([home, mix(sig[short] + np.uint64(2 * p + 3))]), np.append(pos, pos[short]), np.append(role, np.ones(int(short.sum()), np.int64))
+                    else:
+                        sig = home
+                if sample > 1:
+                    some = mix(sig) % np.uint64(sample) == 0
+                    sig, pos, role = sig[some], pos[some], role[some]
+                at = int(np.searchsorted(known, i))
+                mine = int(family[at]) if at < len(known) and known[at] == i else 0
+                meta = np.int64(n << 32) | np.minimum(pos, (1 << 24) - 1) << 8 | k << 2 | role
+                out.append([sig.view(np.int64), np.full(len(sig), i, np.int64), meta, np.full(len(sig), mine, np.int32)])
             if out:
-                yield pa.record_batch({k: pa.array(np.concatenate(x)) for k, x in zip(("sig", "set_id", "n", "pos", "role"), zip(*out))})
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "sig long, set_id long, n int, pos int, role byte")
-
-
-def _candidates(sigs: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b, na, nb), a the shorter set, that share a signature and may reach the threshold."""
-    one = sigs.repartition("sig").dropDuplicates(["sig", "set_id", "role"])
-    a = one.filter("role in (1, 3)").selectExpr("sig", "set_id a", "n na", "pos pa")
-    b = one.filter("role in (2, 3)").selectExpr("sig", "set_id b", "n nb", "pos pb")
-    fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    fits &= F.col("na") >= F.lit(t) * F.col("nb") - 1e-9
-    fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9
-    return a.join(b.hint("merge"), "sig").filter(fits).select("a", "b", "na", "nb").distinct()
-
-
-def _verify(docs: DataFrame, job: Join, cand: DataFrame) -> DataFrame:
+                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("sig", "set_id", "meta", "family"), zip(*out))})
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, "sig long, set_id long, meta long, family int")
+
+
+def _met(sigs: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b, na, nb), a the shorter set, not of one family, that share signatures, with c, how many, k, how many they must, and most, a bound on their overlap."""
+    one = sigs.repartition("sig").dropDuplicates(["sig", "set_id"])
+    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1))
+    a, b = one.selectExpr("sig", "set_id a", "meta ma", "family fa"), one.selectExpr("sig", "set_id b", "meta mb", "family fb")
+    ma, mb = F.col("ma"), F.col("mb")
+    na, nb = bits(ma, 32, 31), bits(mb, 32, 31)
+    # Both roles in one expression: split, each side would be filtered before its exchange, and the exchange not shared.
+    roles = (ma.bitwiseAND(F.lit(1)) * mb.bitwiseAND(F.lit(2))) == 2
+    fits = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    fits &= (na >= F.lit(t) * nb - 1e-9) & ((F.col("fa") != F.col("fb")) | (F.col("fa") == 0))
+    met = a.join(b.hint("merge"), "sig").filter(roles & fits)
+    met = met.select("a", "b", na.cast("int").alias("na"), nb.cast("int").alias("nb"), F.least(bits(ma, 2, 6), bits(mb, 2, 6)).cast("int").alias("k"), F.least(na - bits(ma, 8, 24), nb - bits(mb, 8, 24)).cast("int").alias("most"))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.max("most").alias("most"))
+
+
+def _families(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
+    """(set_id, n, family) of sets that share their smallest acquaintance with others."""
+    known = _met(_emit(docs, job, table, sample=SAMPLE), job.threshold).filter(F.col("c") >= ACQUAINTED)
+    known = materialise(known.select("a", "b", "na", "nb"), "known")
+    ends = known.selectExpr("a set_id", "na n", "least(a, b) m").unionByName(known.selectExpr("b set_id", "nb n", "least(a, b) m"))
+    found = ends.groupBy("set_id", "n").agg(F.min("m").alias("family"))
+    several = found.groupBy("family").count().filter("count > 1").select("family")
+    return materialise(found.join(several, "family", "left_semi"), "families")
+
+
+def _candidates(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
+    """Distinct (a, b, na, nb), a the shorter set, that may reach the threshold."""
+    t = job.threshold
+    families = _families(docs, job, table)
+    held = None
+    if families.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # beyond, families aren't known where signatures are made, and their pairs are met as all others
+        rows = families.select("set_id", "family").toPandas().sort_values("set_id")
+        held = rows["set_id"].to_numpy(np.int64), 1 + np.unique(rows["family"].to_numpy(np.int64), return_inverse=True)[1]
+    found = _met(_emit(docs, job, table, held), t)
+    apart = found.filter((F.col("c") >= F.col("k")) & (F.col("most") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b", "na", "nb")
+    x, y = families.selectExpr("family", "set_id a", "n na"), families.selectExpr("family", "set_id b", "n nb")
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    within = x.join(y, "family").filter(shorter & (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9)).select("a", "b", "na", "nb")
+    both = apart.unionByName(within)
+    return both if held else both.distinct()
+
+
+#: Sets in one block of a group of candidates.
+BLOCK = 256
+
+
+def _blocked(cand: DataFrame) -> DataFrame:
+    """Candidates with a key each: those around one set share it, but for sets beyond BLOCK, which go in blocks."""
+    ends = cand.select(F.col("a").alias("v"), F.least("a", "b").alias("m")).unionByName(cand.select(F.col("b").alias("v"), F.least("a", "b").alias("m")))
+    hub = ends.groupBy("v").agg(F.min("m").alias("hub"))
+    keyed = cand.join(hub.withColumnRenamed("v", "a"), "a")
+    size = keyed.select("hub", F.explode(F.array("a", "b")).alias("v")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    return keyed.join(size, "hub").select("a", "b", "na", "nb", F.xxhash64("hub", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("key"))
+
+
+def _verify(docs: DataFrame, job: Join, cand: DataFrame, prof: DataFrame) -> DataFrame:
     """(a, b, jaccard) of the candidates at or above the threshold."""
-    ids = materialise(cand.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.set_id for r in ids.collect()], np.int64))) if few else None
+    cand = materialise(_blocked(cand), "blocks")
+    needed = cand.select("key", F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    first = prof.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    needed = materialise(needed.join(first, "set_id"), "needed")
+    few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = np.unique(np.array([r.doc_id for r in needed.select("doc_id").distinct().collect()], np.int64)) if few else None
+    wanted = docs.sparkSession.sparkContext.broadcast(held) if few else None
 
     def run(batches):
-        want, seen = wanted.value if wanted else None, set()
-        for _, sets in _sets(batches, job.sets):
-            out = []
-            for s in sets:
-                i = set_id(s)
-                if i in seen or (want is not None and (not len(want) or want[min(np.searchsorted(want, i), len(want) - 1)] != i)):
-                    continue
-                seen.add(i)
-                out.append((i, s.view(np.int64)))
-            if out:
-                yield pa.record_batch({"set_id": pa.array([i for i, _ in out], pa.int64()), "tokens": pa.array([s for _, s in out], pa.list_(pa.int64()))})
-
-    whole = pick(docs, "doc_id", "text").mapInArrow(run, "set_id long, tokens array<long>")
-    if not few:
-        whole = whole.join(ids, "set_id", "left_semi")
-    whole = whole.repartition("set_id").dropDuplicates(["set_id"])  # both joins read this one exchange
-    both = cand.join(whole.selectExpr("set_id a", "tokens ta"), "a").join(whole.selectExpr("set_id b", "tokens tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    scored = both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard"))
-    done = materialise(scored.filter(F.col("jaccard") >= job.threshold - 1e-12), "similar")
-    discard(ids)
+        def chosen():
+            for b in batches:
+                if wanted is not None:
+                    b = b.filter(pa.array(np.isin(np.asarray(b.column(0).fill_null(-1)), wanted.value) & np.asarray(b.column(0).is_valid())))
+                if b.num_rows:
+                    yield b
+
+        for found in _sets(chosen(), job.sets):
+            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array([set_id(s) for _, s, _, _ in found], pa.int64()), "tokens": pa.array([s.tobytes() for _, s, _, _ in found], pa.binary())})
+
+    whole = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, set_id long, tokens binary")
+    whole = whole.join(F.broadcast(needed) if few else needed, ["doc_id", "set_id"]).select("key", "set_id", "tokens")
+    least = job.threshold - 1e-12
+
+    def overlap(key, pairs, sets):
+        held = {i: np.frombuffer(x, np.uint64) for i, x in zip(sets.column("set_id").to_pylist(), sets.column("tokens").to_pylist())}
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = held[a], held[b]  # x is the shorter
+            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            j = shared / (len(x) + len(y) - shared)
+            if j >= least:
+                out.append((a, b, j))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "jaccard": pa.array([x[2] for x in out], pa.float64())})
+
+    scored = cand.select("key", "a", "b").groupBy("key").cogroup(whole.groupBy("key")).applyInArrow(overlap, "a long, b long, jaccard double")
+    done = materialise(scored, "similar")
+    discard(needed)
+    discard(cand)
     return done
 
 
 def similar_sets(docs: DataFrame, job: Join) -> tuple[DataFrame, DataFrame]:
     """(members, similar): members has (doc_id, set_id) of every document with tokens, similar the pairs (a, b, jaccard) of distinct sets."""
     prof = profile(docs, job)
-    cand = materialise(_candidates(_emit(docs, job, token_counts(prof)), job.threshold), "candidates")
-    similar = _verify(docs, job, cand)
+    cand = materialise(_candidates(docs, job, token_counts(prof)), "candidates")
+    similar = _verify(docs, job, cand, prof)
     discard(cand)
     return prof.filter("set_id is not null").select("doc_id", "set_id").distinct(), similar
 

@@ -106,8 +106,8 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, start, end), at
 
 
-def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """Per text, the hashes of its word n-grams, repeats included.
+def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text, the hashes of its word n-grams, repeats included, and of the first and last word of each.
 
     A text of fewer than n words has one gram of all its words; one of none has none.
     """
@@ -116,11 +116,11 @@ def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
         full = mix(full[:-1] * np.uint64(0x9FB21C651E98DF25) + h[k:]) if len(full) > 1 else full[:0]
     for a, b in zip(at[:-1], at[1:]):
         if b - a >= n:
-            yield full[a : b - n + 1]
+            yield full[a : b - n + 1], h[a : b - n + 1], h[a + n - 1 : b]
         elif b > a:
             short = h[a : a + 1]
             for k in range(1, b - a):
                 short = mix(short * np.uint64(0x9FB21C651E98DF25) + h[a + k])
-            yield short
+            yield short, h[a : a + 1], h[b - 1 : b]
         else:
-            yield h[:0]
+            yield h[:0], h[:0], h[:0]

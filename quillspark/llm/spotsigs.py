@@ -43,7 +43,7 @@ def anchor_hashes() -> np.ndarray:
 
 
 def spots(texts: pa.Array, chain: int = CHAIN):
-    """Spot signatures of each text, repeats included."""
+    """Spot signatures of each text, repeats included, with the first and last content word of each."""
     h, at = words(texts)
     known = anchor_hashes()
     is_anchor = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
@@ -55,19 +55,19 @@ def spots(texts: pa.Array, chain: int = CHAIN):
     ok = last < len(content)
     ok[ok] = content[last[ok]] < doc_end[ok]
     anchors, nxt = anchors[ok], nxt[ok]
-    sig = h[anchors]
+    sig, first, last = h[anchors], h[content[nxt]], h[content[nxt + chain - 1]]
     for k in range(chain):
         sig = mix(sig * np.uint64(0x9FB21C651E98DF25) + h[content[nxt + k]])
     cut = np.searchsorted(anchors, at)
     for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
         if b > a:
-            yield sig[a:b]
+            yield sig[a:b], first[a:b], last[a:b]
         elif at[i + 1] > at[i]:
             w = h[at[i] : at[i + 1]]
             whole = mix(w * np.uint64(0xD1342543DE82EF95) + mix(np.arange(len(w), dtype=np.uint64))).sum(dtype=np.uint64)
-            yield mix(np.array([whole], np.uint64))
+            yield mix(np.array([whole], np.uint64)), w[:1], w[-1:]
         else:
-            yield h[:0]
+            yield h[:0], h[:0], h[:0]
 
 
 def job(threshold: float = THRESHOLD) -> _setjoin.Join:
