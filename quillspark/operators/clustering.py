@@ -84,8 +84,8 @@ def centres(model: KMeansModel) -> list[list[float]]:
 def keywords(df: DataFrame, text: str, keys: list[str], order: list[str], k: int = 5) -> DataFrame:
     """(keys, keyword, n, rank): the most frequent words of three letters or more per group; earlier words first among equals."""
     words = F.regexp_extract_all(F.lower(text), F.lit(jvm(r"\b[a-z]{3,}\b")), 0)
-    w = df.select(*keys, *order, F.posexplode(words).alias("i", "keyword")).filter(~F.col("keyword").isin(STOP_WORDS))
-    n = w.groupBy(*keys, "keyword").agg(F.count("*").alias("n"), F.min(F.struct(*order, "i")).alias("seen"))
+    w = df.select(*keys, *order, F.posexplode(words).alias("_i", "keyword")).filter(~F.col("keyword").isin(STOP_WORDS))
+    n = w.groupBy(*keys, "keyword").agg(F.count("*").alias("n"), F.min(F.struct(*order, "_i")).alias("seen"))
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "seen"))
     return n.withColumn("rank", r).filter(F.col("rank") <= k).drop("seen")
 

@@ -28,8 +28,8 @@ def with_category(counts: DataFrame, column: str = "id") -> DataFrame:
 
 def count_issues(results: DataFrame, issues: str = "issues", order: str = "pos") -> DataFrame:
     """(id, frequency, first_seen) over rows with an array of issues and an ordinal."""
-    found = results.select(order, F.posexplode(issues).alias("i", "id"))
-    return found.groupBy("id").agg(F.count("*").alias("frequency"), F.min(F.struct(order, "i")).alias("first_seen"))
+    found = results.select(order, F.posexplode(issues).alias("_i", "id"))
+    return found.groupBy("id").agg(F.count("*").alias("frequency"), F.min(F.struct(order, "_i")).alias("first_seen"))
 
 
 def top_patterns(counts: DataFrame, k: int = MAX_PATTERNS) -> DataFrame:
@@ -63,11 +63,11 @@ def real_examples(prompts: DataFrame, text: str, order: list[str], limit: int =
 def aggregate_individual(results: DataFrame, order: str = "pos") -> tuple[DataFrame, DataFrame]:
     """(top patterns, totals) of single-prompt results (status, categories, example, suggestion)."""
     bad = results.filter("status = 'problems'")
-    found = bad.select(order, F.posexplode("categories").alias("i", "id"), "example", "suggestion")
-    at = F.struct(order, "i")
+    found = bad.select(order, F.posexplode("categories").alias("_i", "id"), "example", "suggestion")
+    at = F.struct(order, "_i")
     by = found.groupBy("id").agg(
         F.count("*").alias("frequency"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order, "i", "example"))), lambda x: x["example"]), 1, MAX_EXAMPLES).alias("examples"),
+        F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order, "_i", "example"))), lambda x: x["example"]), 1, MAX_EXAMPLES).alias("examples"),
         F.min_by("suggestion", at).alias("own_suggestion"),
         F.min(at).alias("first_seen"),
     )

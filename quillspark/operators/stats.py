@@ -101,7 +101,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """(bin, lower, n) of equal widths; all values in bin 0 if they are equal; empty bins are kept."""
     x = F.col(column).cast("double")
     b = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    at = F.coalesce(F.least(F.floor(F.try_divide(x - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)), F.lit(0))
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((x - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     counts = df.filter(x.isNotNull()).crossJoin(F.broadcast(b)).groupBy(at.cast("int").alias("bin")).count()
     frame = b.filter("lo is not null").select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return frame.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("lower"), F.coalesce("count", F.lit(0)).cast("long").alias("n"))

@@ -1,0 +1,181 @@
+"""Log files, streaming, providers, responses, services, reports, command line, configuration."""
+
+import json
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+import quillspark
+from quillspark import cli
+from quillspark.plans import pipeline, provider, report, responses, service
+from quillspark.sources import config, embeddings, logs
+from quillspark.streaming import tail as tail_module
+from quillspark.streaming import watch as watch_module
+
+
+def line(text="hello there friend", role="user", ts="2025-01-20T10:00:00.000Z", **own):
+    return json.dumps({"type": role, "message": {"role": role, "content": text}, "timestamp": ts, "sessionId": "s1", "cwd": "/x"} | own)
+
+
+@pytest.fixture
+def base(tmp_path):
+    folder = tmp_path / "projects" / "app"
+    folder.mkdir(parents=True)
+    bad = ["", "   ", "{oops", line(message={"role": "user", "content": ["a"]}), line(sessionId=5), line(type="robot")]
+    (folder / "a.jsonl").write_text("\n".join([line("first prompt"), line("an answer", "assistant"), line("  \t "), *bad, line("later", ts="2025-01-21T08:00:00Z")]) + "\n")
+    (tmp_path / "projects" / "b.jsonl").write_text(line("other project") + "\n")
+    (tmp_path / "projects" / ".hidden").mkdir()
+    return str(tmp_path / "projects")
+
+
+def test_read_logs(spark, base, tmp_path):
+    prompts, rejects = logs.read_logs(spark, base)
+    assert [(r.content, r.project, r.date) for r in prompts.collect()] == [("first prompt", "app", "2025-01-20"), ("other project", "b.jsonl", "2025-01-20"), ("later", "app", "2025-01-21")] or {r.content for r in prompts.collect()} == {"first prompt", "other project", "later"}
+    assert [r.rejected for r in rejects.collect()] == [4]
+    assert logs.read_logs(spark, base, date="2025-01-21")[0].count() == 1 and logs.read_logs(spark, base, first="2025-01-20", last="2025-01-20")[0].count() == 2 and logs.read_logs(spark, base, project="APP")[0].count() == 2
+    assert logs.list_projects(spark, base) == ["app"]
+    assert logs.read_logs(spark, str(tmp_path / "none"))[0].count() == 0 and logs.read_warnings(spark, str(tmp_path / "none"), "2025-02-01", "2025-01-01") and logs.schema_warning("2.0") and not logs.schema_warning("1.0")
+
+
+def test_responses(spark):
+    got = [(r.shape, r.issues, r.score) for r in responses.parse(spark.createDataFrame([(i, s) for i, s in enumerate(responses.SAMPLES)], "i int, s string"), "s").orderBy("i").collect()]
+    assert got[:4] == [("minimal", ["vague", "no-context"], 40), ("minimal", [], 50), ("minimal", ["vague"], 70), ("simple", ["too-vague"], 55)]
+    assert [g[0] for g in got[4:]] == ["full", "minimal", "invalid", "invalid"]
+    assert responses.mend('{"a": ["b') == '{"a": ["b"]}' and responses.mend('{"a": 1,') == '{"a": 1}'
+    assert [r["status"] for r in responses.individual(responses.SAMPLES[-1])] == ["ok", "problems"]
+
+
+class Flaky:
+    name = "flaky"
+
+    def is_available(self):
+        return True
+
+    def analyze(self, prompts, date, context=None):
+        if len(prompts) > 2 or "bad" in prompts:
+            raise TimeoutError("timed out")
+        return {"issues": ["vague"] * len(prompts), "score": 50}
+
+
+def test_split_retry_limit():
+    got = provider.analyze_split(Flaky(), ["a", "b", "bad", "d", "e"], "d")
+    assert sum(g["n"] for g in got) == 4
+    waits, calls = [], []
+
+    def fail():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError("reset")
+        return 7
+
+    assert provider.with_retry(fail, sleep=waits.append) == 7 and waits == [1, 2]
+    with pytest.raises(ValueError):
+        provider.with_retry(lambda: (_ for _ in ()).throw(ValueError("no")), sleep=waits.append)
+    now, slept = [0.0], []
+    limiter = provider.RateLimiter(60, clock=lambda: now[0], sleep=slept.append)
+    limiter.wait()
+    limiter.wait()
+    assert slept == [1.0]
+    heard = []
+    off = provider.HttpProvider("anthropic", "m")
+    assert provider.first_available([off, provider.OfflineProvider()], lambda a, b: heard.append((a, b))).name == "offline" and heard == [("anthropic", "offline")]
+    with pytest.raises(RuntimeError):
+        provider.first_available([off])
+    body = json.loads(off.request(["p"], "2025-01-01", {"role": "dev"}).data)
+    assert "1. p" in body["messages"][0]["content"] and "dev" in body["messages"][0]["content"]
+    with pytest.raises(ValueError):
+        provider.build_prompt([], "d")
+    assert provider.services({"QUILLSPARK_SERVICES": "Ollama, nope,offline"}) == ["ollama", "offline"]
+
+
+def test_analyze_and_reports(spark, base, tmp_path):
+    prompts, _ = logs.read_logs(spark, base)
+    patterns, totals = pipeline.analyze(prompts)
+    day = report.collect_result(patterns.filter("date = '2025-01-20'"), totals.filter("date = '2025-01-20'"), "2025-01-20")
+    assert day["stats"]["total_prompts"] == 2 and day["patterns"]
+    assert "2025-01-20" in report.as_markdown(day) and json.loads(report.as_json(day, True))["date"] == "2025-01-20" and "score" in report.as_text(day)
+    keyed = pipeline.keyed(prompts, "offline")
+    assert pipeline.analyze_new(prompts, keyed.filter("content = 'later'"), "offline")[1].count() == 1
+    out = tmp_path / "deep" / "r.md"
+    report.write_result(str(out), [day, day | {"date": "2025-01-21"}])
+    assert sorted(p.name for p in out.parent.iterdir()) == ["r-2025-01-20.md", "r-2025-01-21.md"]
+    assert report.line_chart([1, 2, 3]).count("•") == 3 and report.line_chart([]) and "█" in report.bar_chart([("a", 2.0)]) and report.shorten("one two three", 7) == "one..."
+    assert report.grade(8) == "green" and report.grade(6) == "yellow" and report.delta_mark(-1).startswith("↓")
+    assert "New" in report.comparison_markdown([{"status": "new", "name": "N", "before_frequency": None, "after_frequency": 2}], 5, 6)
+
+
+def test_service(spark):
+    assert {p["id"] for p in service.analyze_prompt(spark, "fix it", "d")["patterns"]} == set(provider.find_issues("fix it"))
+    assert service.suggest_improvements(spark, "fix it", "d") and not service.check_context(spark, "fix it", "d")["has_context"]
+    with pytest.raises(ValueError):
+        service.analyze_prompt(spark, "  ", "d")
+
+
+def test_cli(spark, base, tmp_path, capsys):
+    out = tmp_path / "o.json"
+    assert cli.main(["analyze", base, "--date", "2025-01-20", "--format", "json", "--output", str(out)], spark) == 0 and json.loads(out.read_text())["stats"]["total_prompts"] == 2
+    assert cli.main(["analyze", base, "--date", "2020-01-01"], spark) == cli.NO_DATA and cli.main(["analyze", base, "--date", "2020-01-01", "--from", "x"], spark) == cli.ERROR
+    assert cli.main(["rules"], spark) == 0 and "vague" in capsys.readouterr().out and cli.main(["projects", base], spark) == 0
+    from datetime import date
+
+    assert cli.resolve(" Yesterday", date(2025, 1, 2)) == "2025-01-01"
+
+
+def test_config(tmp_path):
+    (tmp_path / config.NAME).write_text('{"context": {"role": "dev"}, "rules": {"vague": {"severity": "low"}}}')
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    found, warnings = config.load_for(str(deep))
+    assert found.rules and not warnings
+    merged = config.merge(config.Config({"role": "ops"}), found)
+    assert merged.context == {"role": "ops"} and merged.rules == found.rules
+    (deep / config.NAME).write_text('{"rules": {"vague": {"severity": "odd"}}}')
+    assert config.load_for(str(deep))[0] is None and config.load_for(str(deep))[1]
+    assert config.reminder_due("2025-01-01", "2025-01-08") and not config.reminder_due("2025-01-01", "2025-01-08", "never") and not config.reminder_due(None, "2025-01-08")
+
+
+def test_embeddings(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "fail"), (3, None)], "i int, t string")
+    got = embeddings.with_embeddings(df, "t", lambda t: None if t == "fail" else [1.0, 2.0], pause_s=0)
+    assert got.count() == 3 and embeddings.usable(got).count() == 1
+
+
+def test_tail_offsets(tmp_path):
+    f = tmp_path / "a.jsonl"
+    f.write_bytes("é1\nhalf".encode())
+    r = tail_module.TailReader({"path": str(tmp_path)})
+    start = r.initialOffset()
+    f.write_bytes("é1\nhalf done\nmore".encode())
+    (tmp_path / "b.jsonl").write_text("new\n")
+    end = r.latestOffset()
+    assert sorted(x[0] for p in r.partitions(start, end) for x in r.read(p)) == ["half done", "new"]
+    f.write_text("x\n")
+    assert not [p for p in r.partitions(end, r.latestOffset()) if p.path == str(f)]
+
+
+def test_watch(spark, base, tmp_path):
+    saved = str(tmp_path / "saved")
+    q = watch_module.watch(spark, base, lambda b: b.select("content", "date"), lambda: None, lambda d: d.write.mode("append").parquet(saved), str(tmp_path / "cp"))
+    try:
+        for _ in range(60):
+            if q.lastProgress is not None:
+                break
+            time.sleep(0.5)
+        with open(base + "/app/a.jsonl", "a") as f:
+            f.write(line("streamed prompt", ts="2025-01-22T10:00:00Z") + "\n" + line("streamed prompt", ts="2025-01-22T10:00:00Z") + "\n")
+        for _ in range(120):
+            try:
+                if spark.read.parquet(saved).count():
+                    break
+            except Exception:
+                pass
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [r.content for r in spark.read.parquet(saved).collect()] == ["streamed prompt"]
+
+
+def test_public_names():
+    assert {"analyze", "sanitize", "read_logs", "trend", "watch", "apply_rules", "silhouette"} <= set(quillspark.__all__)
+    assert F is not None
