@@ -102,7 +102,7 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """Nyström landmarks and ridge regression on labelled texts, given in the order of their hash."""
+    """Nyström landmarks and ridge regression on labelled texts with letters, given in the order of their hash."""
     languages = sorted(set(labels))
     parts = [presence(p) for _, p in slices(pa.array(texts, pa.string()))]
     x = np.concatenate([p for p, _ in parts])
@@ -125,6 +125,12 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     return Model(languages, (m @ (whiten @ beta[:-1]).astype(np.float32)).astype(np.float32), beta[-1].astype(np.float32))
 
 
+def trained(texts: list[str], labels: list[str]) -> Model | None:
+    """Model of the texts that have letters; None if none has."""
+    some = [i for i, t in enumerate(texts) if len(presence(pa.array([t]))[0])]
+    return fit([texts[i] for i in some], [labels[i] for i in some]) if some else None
+
+
 def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most per_language labelled texts of each language, by hash of doc_id."""
     rows = docs.filter("doc_id is not null and text is not null and lang is not null and length(trim(text)) > 0")
@@ -148,7 +154,7 @@ def identify(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFra
     """(doc_id, language, score, margin, keep) of every row."""
     rows = pick(docs, "doc_id", "text", "lang")
     texts, labels = training_rows(rows, per_language)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels) if texts else None)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(texts, labels))
 
     def run(batches):
         for b in batches:
@@ -180,7 +186,7 @@ def decide(model: Model | None, texts: pa.Array) -> dict[str, pa.Array]:
 def keep_identified(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """The rows of docs, all columns as they are, that some language claims."""
     texts, labels = training_rows(pick(docs, "doc_id", "text", "lang"), per_language)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels) if texts else None)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(texts, labels))
     at = docs.columns.index("text")
 
     def run(batches):

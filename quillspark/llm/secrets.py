@@ -78,6 +78,18 @@ def _walk(tree) -> tuple[set[str] | None, Query]:
         query = both(query, either([contains(s) for s in sorted(known)]))
 
     for kind, arg in tree:
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and (power := _repeated(arg)):
+            # At least so many times: what comes before is followed by them, and what comes after is unknown.
+            fits = len(known) * len(power) <= EXACT
+            if not fits:
+                flush()
+            known = {a + b for a in (known if fits else {""}) for b in power}
+            whole &= fits
+            if arg[0] == arg[1]:
+                continue
+            flush()
+            known, whole = {""}, False
+            continue
         exact, need = _one(kind, arg)
         if exact is not None and len(known) * len(exact) <= EXACT:
             known = {a + b for a in known for b in exact}
@@ -96,6 +108,20 @@ def _walk(tree) -> tuple[set[str] | None, Query]:
     return None, query
 
 
+def _repeated(arg) -> set[str] | None:
+    """The strings of the least number of repeats, if they are few and there is one."""
+    low, _, sub = arg
+    exact, _ = _walk(sub)
+    if not low or exact is None or len(exact) ** min(low, 8) > EXACT:
+        return None
+    out = {""}
+    for _ in range(low):
+        out = {a + b for a in out for b in exact}
+        if len(out) > EXACT:
+            return None
+    return out
+
+
 def _one(kind, arg) -> tuple[set[str] | None, Query]:
     if kind is op.LITERAL:
         return {chr(arg).lower()}, True
