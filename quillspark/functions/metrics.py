@@ -13,7 +13,7 @@ def _any(words: str, sep: str = " ") -> str:
 
 
 _FILES = rf"(?i)\b[-/\w]+\.{_any('bash css go html java js json jsx md php py rb rs sass scss sh sql svelte ts tsx vue xml yaml yml')}\b"
-_CALLS = rf"\b{_any('async class const def export fn func function let method var')}\s+\w+|\.\w+\(|\w+\("
+_CALLS = rf"\b{_any('async class const def export fn func function let method var')}\s+\w+|\.?\w+\("
 _ERRORS = rf"(?i)\b{_any('NaN ReferenceError SyntaxError TypeError crash error exception failed fatal null panic undefined warning')}\b"
 _CODE = r"```[\d\D]*?```|`[^`]+`"
 _VERBS = rf"(?i)\b{_any('add build change compile create debug delete deploy enhance fix implement improve install migrate modify optimize refactor remove replace test update validate')}\b"

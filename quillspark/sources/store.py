@@ -32,7 +32,7 @@ def load_history(spark: SparkSession, path: str, date: str) -> DataFrame:
 
 def list_history(history: DataFrame, provider: str | None = None, project: str | None = None, min_score: float | None = None, max_score: float | None = None) -> DataFrame:
     """Entries with proper dates, newest first; the project is part of a name, whatever its case."""
-    out = history.filter(F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    out = history.filter(F.col("date").cast("string").rlike(r"^[0-9]{4}(?:-[0-9]{2}){2}$"))
     if provider is not None:
         out = out.filter(F.col("provider") == provider)
     if project is not None:
