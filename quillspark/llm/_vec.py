@@ -9,7 +9,8 @@ bits wide; two unequal words share one with a chance of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,20 @@ _WORD[ord("a") : ord("z") + 1] = True
 _WORD[128:] = True
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that, when its task ends, returns to the system the memory that its worker no longer uses."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
+
+    return inner
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     h = h ^ (h >> np.uint64(30))

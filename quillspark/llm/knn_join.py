@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import pick
+from ._vec import lean
 
 K = 10
 MAX_PIVOTS = 2048
 #: Rows of one group and of one chunk.
 GROUP_ROWS = 8192
-CHUNK_ROWS = 65536
+CHUNK_ROWS = 32768
 _SLACK = 1e-5
 
 
@@ -45,7 +46,7 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths."""
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,21 +96,27 @@ def local_topk(r_ids: np.ndarray, r: np.ndarray, s_ids: np.ndarray, s: np.ndarra
     """(query id, neighbour id, rounded distance) of the k best of s for each of r."""
     q, n, d = [], [], []
     slack = _SLACK * (1 + float(np.abs(s).max(initial=0)))
-    for i in range(0, len(r), 512):
-        part = r[i : i + 512]
-        near = distances(part, s)
-        near[r_ids[i : i + 512, None] == s_ids[None, :]] = np.inf
-        kk = min(k, near.shape[1])
-        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
-        row, col = np.nonzero((near <= kth[:, None] + slack) & np.isfinite(near))
+    for i in range(0, len(r), 256):
+        part, part_ids = r[i : i + 256], r_ids[i : i + 256]
+        best = np.full((len(part), k), np.inf)
+        rows, cols, dist = [], [], []
+        for j in range(0, len(s), 4096):
+            near = distances(part, s[j : j + 4096])
+            near[part_ids[:, None] == s_ids[None, j : j + 4096]] = np.inf
+            kk = min(k, near.shape[1])
+            best = np.partition(np.hstack([best, np.partition(near, kk - 1, axis=1)[:, :kk]]), k - 1, axis=1)[:, :k]
+            row, col = np.nonzero((near <= best.max(axis=1, keepdims=True) + slack) & np.isfinite(near))
+            rows, cols, dist = rows + [row], cols + [col + j], dist + [near[row, col]]
+        row, col = np.concatenate(rows), np.concatenate(cols)
+        could = np.concatenate(dist) <= best.max(axis=1)[row] + slack
+        row, col = row[could], col[could]
         exact = np.round(np.sqrt(((part[row] - s[col]) ** 2).sum(axis=1)), 6)
         order = np.lexsort((s_ids[col], exact, row))
         row, col, exact = row[order], col[order], exact[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank < k
-        q.append(r_ids[i : i + 512][row[best]])
-        n.append(s_ids[col[best]])
-        d.append(exact[best])
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        q.append(part_ids[row[top]])
+        n.append(s_ids[col[top]])
+        d.append(exact[top])
     return np.concatenate(q), np.concatenate(n), np.concatenate(d)
 
 
@@ -120,7 +127,7 @@ def knn_join(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "
     n = rows.count()
     n_pivots = min(MAX_PIVOTS, int(n**0.5) + 1)
     drawn = rows.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(n_pivots).select("v").collect()
-    pivots = np.array([r.v for r in drawn], np.float64).reshape(len(drawn), -1)
+    pivots = np.array([r.v for r in drawn], np.float64) if drawn else np.zeros((0, 1))
     shared = spark.sparkContext.broadcast(pivots)
 
     def summarise(batches):
@@ -140,7 +147,7 @@ def knn_join(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "
             c = list(count)
             yield pa.record_batch({"cell": pa.array(c, pa.int64()), "n": pa.array([count[x] for x in c], pa.int64()), "radius": pa.array([radius[x] for x in c], pa.float64()), "near": pa.array([near[x].tolist() for x in c], pa.list_(pa.float64()))})
 
-    parts = rows.mapInArrow(summarise, "cell long, n long, radius double, near array<double>")
+    parts = rows.mapInArrow(lean(summarise), "cell long, n long, radius double, near array<double>")
     parts = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
     count, radius, nearest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), [np.zeros(0)] * len(pivots)
     for p in parts:
@@ -178,7 +185,7 @@ def knn_join(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "
                 if len(at):
                     yield pa.record_batch({"g": pa.array(np.full(len(at), g), pa.int32()), "rc": pa.array(rc, pa.int32()), "sc": pa.array(sc, pa.int32()), "side": pa.array(np.full(len(at), side), pa.int8()), "id": pa.array(ids[at], pa.int64()), "v": b.column(1).take(pa.array(at))})
 
-    sent = rows.mapInArrow(replicate, f"g int, rc int, sc int, side byte, id long, v {dict(rows.dtypes)['v']}")
+    sent = rows.mapInArrow(lean(replicate), f"g int, rc int, sc int, side byte, id long, v {dict(rows.dtypes)['v']}")
 
     def solve(table):
         side = np.asarray(table.column("side").combine_chunks())
