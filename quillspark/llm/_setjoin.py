@@ -12,7 +12,9 @@
    lack plus k. Each lacking token lowers that sum by one at most, so at least k
    combinations of two similar sets are equal.
 4. Pairs of sets with k equal signatures, whose sizes and first common positions
-   allow the threshold, are candidates.
+   allow the threshold, are candidates. What is shared from the j-th common signature
+   on is bounded by its positions, so those too far back to be among the first k are
+   left out before counting.
    Before that, one signature in SAMPLE is joined alone, to see which sets belong
    together: sets with the same smallest acquaintance form a family. All pairs of a
    family are candidates, and no pair of one need be met again, once for each of its
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import BROADCAST_IDS, discard, materialise, pick
-from ._vec import mix, slices
+from ._vec import lean, mix, slices
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 15
@@ -88,17 +90,21 @@ def profile(docs: DataFrame, job: Join) -> DataFrame:
 
     def run(batches):
         table = np.zeros(2 * BUCKETS, np.uint32)  # tokens, then words
+        seen: set[int] = set()  # sets, not documents, are counted
         for found in _sets(batches, job.sets):
-            np.add.at(table, np.concatenate([bucket(s) for _, s, _, _ in found]), 1)
-            np.add.at(table, np.concatenate([BUCKETS + np.unique(bucket(np.concatenate([u, v]))) for _, _, u, v in found]), 1)
-            n = len(found)
-            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array([set_id(s) for _, s, _, _ in found], pa.int64()), "n": pa.array([len(s) for _, s, _, _ in found], pa.int32()), "chunk": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+            n, names = len(found), [set_id(s) for _, s, _, _ in found]
+            new = {i: x for i, x in zip(names, found) if i not in seen}
+            if new:
+                seen.update(new)
+                np.add.at(table, np.concatenate([bucket(s) for _, s, _, _ in new.values()]), 1)
+                np.add.at(table, np.concatenate([BUCKETS + np.unique(bucket(np.concatenate([u, v]))) for _, _, u, v in new.values()]), 1)
+            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array(names, pa.int64()), "n": pa.array([len(s) for _, s, _, _ in found], pa.int32()), "chunk": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
         for k in range(2 * BUCKETS // CHUNK):
             part = table[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
                 yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "chunk": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
-    return materialise(pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n int, chunk int, counts binary"), "sets")
+    return materialise(pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id long, n int, chunk int, counts binary"), "sets")
 
 
 def token_counts(prof: DataFrame) -> np.ndarray:
@@ -112,7 +118,7 @@ def token_counts(prof: DataFrame) -> np.ndarray:
         if total:
             yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-    rows = prof.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    rows = prof.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(add), "chunk int, counts binary").collect()
     table = np.zeros(2 * BUCKETS, np.uint32)
     for r in rows:
         table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint32)
@@ -157,9 +163,9 @@ def ordered(s: np.ndarray, u: np.ndarray, v: np.ndarray, classes: np.ndarray, wo
 def signatures(s: np.ndarray, classes: np.ndarray, t: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(signature, position, in the shorter side's prefix) of an ordered set, and how many of them a partner must have."""
     n = len(s)
-    most = sum(max(0, int((classes == c).sum()) - c + 1) for c in (1, 2, 3))
     tiny = n <= int(int(3 / t) / t) + 1  # so small that combinations may run out: single tokens too
-    k = 1 if tiny else max(1, min(k, most - lacking(n, t)))
+    # The prefix is extended for k only as far as rare tokens reach.
+    k = 1 if tiny else max(1, min(k, int((classes == 1).sum()) - lacking(n, t)))
     long = prefix(n, classes, lacking(n, t) + k - 1)
     short = prefix(n, classes, lacking(n, 2 * t / (1 + t)) + k - 1)
     c1, c2 = int((classes[:long] == 1).sum()), int((classes[:long] <= 2).sum())
@@ -187,11 +193,16 @@ def length_part(n: float, t: float) -> int:
     return int(np.floor(np.log(n) / -np.log(t) / SPAN + 1e-9))
 
 
-#: Of the signatures, one in so many shows the families; so many of these must two sets share to be acquainted.
+#: Of the signatures, one in so many shows the families (of small sets, more, or all); so many of these must two sets share to be acquainted.
 SAMPLE, ACQUAINTED = 16, 3
 
 
-def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndarray, np.ndarray] | None = None, sample: int = 1) -> DataFrame:
+def sampled(sig: np.ndarray, n: int) -> np.ndarray:
+    """Which signatures of a set of n tokens are in the sample; those of a larger set are among those of a smaller."""
+    return mix(sig) % np.uint64(SAMPLE) < np.uint64(SAMPLE if n <= 64 else SAMPLE // 4 if n <= 256 else 1)
+
+
+def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndarray, np.ndarray] | None = None, sample: bool = False) -> DataFrame:
     """Rows (sig, set_id, meta, family); family 0 is none.
 
     meta packs the size of the set, the position, k and the role: 1 may be the shorter set of a pair, 2 the longer, 3 either.
@@ -217,8 +228,8 @@ def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndar
                         sig, pos, role = np.concatenate([home, mix(sig[short] + np.uint64(2 * p + 3))]), np.append(pos, pos[short]), np.append(role, np.ones(int(short.sum()), np.int64))
                     else:
                         sig = home
-                if sample > 1:
-                    some = mix(sig) % np.uint64(sample) == 0
+                if sample:
+                    some = sampled(sig, n)
                     sig, pos, role = sig[some], pos[some], role[some]
                 at = int(np.searchsorted(known, i))
                 mine = int(family[at]) if at < len(known) and known[at] == i else 0
@@ -227,7 +238,7 @@ def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndar
             if out:
                 yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("sig", "set_id", "meta", "family"), zip(*out))})
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "sig long, set_id long, meta long, family int")
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "sig long, set_id long, meta long, family int")
 
 
 def _met(sigs: DataFrame, t: float) -> DataFrame:
@@ -241,14 +252,16 @@ def _met(sigs: DataFrame, t: float) -> DataFrame:
     roles = (ma.bitwiseAND(F.lit(1)) * mb.bitwiseAND(F.lit(2))) == 2
     fits = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
     fits &= (na >= F.lit(t) * nb - 1e-9) & ((F.col("fa") != F.col("fb")) | (F.col("fa") == 0))
+    k, most = F.least(bits(ma, 2, 6), bits(mb, 2, 6)), F.least(na - bits(ma, 8, 24), nb - bits(mb, 8, 24))
+    fits &= most >= F.lit(t / (1 + t)) * (na + nb) - 1e-9 - (k - 1)
     met = a.join(b.hint("merge"), "sig").filter(roles & fits)
-    met = met.select("a", "b", na.cast("int").alias("na"), nb.cast("int").alias("nb"), F.least(bits(ma, 2, 6), bits(mb, 2, 6)).cast("int").alias("k"), F.least(na - bits(ma, 8, 24), nb - bits(mb, 8, 24)).cast("int").alias("most"))
+    met = met.select("a", "b", na.cast("int").alias("na"), nb.cast("int").alias("nb"), k.cast("int").alias("k"), most.cast("int").alias("most"))
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.max("most").alias("most"))
 
 
 def _families(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
     """(set_id, n, family) of sets that share their smallest acquaintance with others."""
-    known = _met(_emit(docs, job, table, sample=SAMPLE), job.threshold).filter(F.col("c") >= ACQUAINTED)
+    known = _met(_emit(docs, job, table, sample=True), job.threshold).filter(F.col("c") >= ACQUAINTED)
     known = materialise(known.select("a", "b", "na", "nb"), "known")
     ends = known.selectExpr("a set_id", "na n", "least(a, b) m").unionByName(known.selectExpr("b set_id", "nb n", "least(a, b) m"))
     found = ends.groupBy("set_id", "n").agg(F.min("m").alias("family"))
@@ -262,8 +275,8 @@ def _candidates(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
     families = _families(docs, job, table)
     held = None
     if families.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # beyond, families aren't known where signatures are made, and their pairs are met as all others
-        rows = families.select("set_id", "family").toPandas().sort_values("set_id")
-        held = rows["set_id"].to_numpy(np.int64), 1 + np.unique(rows["family"].to_numpy(np.int64), return_inverse=True)[1]
+        rows = families.select("set_id", "family").toArrow().sort_by("set_id")
+        held = rows["set_id"].to_numpy(), 1 + np.unique(rows["family"].to_numpy(), return_inverse=True)[1]
     found = _met(_emit(docs, job, table, held), t)
     apart = found.filter((F.col("c") >= F.col("k")) & (F.col("most") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b", "na", "nb")
     x, y = families.selectExpr("family", "set_id a", "n na"), families.selectExpr("family", "set_id b", "n nb")
@@ -280,9 +293,11 @@ BLOCK = 256
 def _blocked(cand: DataFrame) -> DataFrame:
     """Candidates with a key each: those around one set share it, but for sets beyond BLOCK, which go in blocks."""
     ends = cand.select(F.col("a").alias("v"), F.least("a", "b").alias("m")).unionByName(cand.select(F.col("b").alias("v"), F.least("a", "b").alias("m")))
-    hub = ends.groupBy("v").agg(F.min("m").alias("hub"))
-    keyed = cand.join(hub.withColumnRenamed("v", "a"), "a")
-    size = keyed.select("hub", F.explode(F.array("a", "b")).alias("v")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    hub = materialise(ends.groupBy("v").agg(F.min("m").alias("hub")), "hubs")
+    # Pairs are many more than sets: up to the bound, what is known of sets comes to the pairs, not the other way round.
+    wrap = F.broadcast if hub.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda x: x
+    keyed = cand.join(wrap(hub.withColumnRenamed("v", "a")), "a")
+    size = wrap(keyed.select("hub", F.explode(F.array("a", "b")).alias("v")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     return keyed.join(size, "hub").select("a", "b", "na", "nb", F.xxhash64("hub", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("key"))
 
@@ -294,7 +309,7 @@ def _verify(docs: DataFrame, job: Join, cand: DataFrame, prof: DataFrame) -> Dat
     first = prof.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     needed = materialise(needed.join(first, "set_id"), "needed")
     few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = np.unique(np.array([r.doc_id for r in needed.select("doc_id").distinct().collect()], np.int64)) if few else None
+    held = np.unique(needed.select("doc_id").distinct().toArrow()["doc_id"].to_numpy()) if few else None
     wanted = docs.sparkSession.sparkContext.broadcast(held) if few else None
 
     def run(batches):
@@ -308,7 +323,7 @@ def _verify(docs: DataFrame, job: Join, cand: DataFrame, prof: DataFrame) -> Dat
         for found in _sets(chosen(), job.sets):
             yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array([set_id(s) for _, s, _, _ in found], pa.int64()), "tokens": pa.array([s.tobytes() for _, s, _, _ in found], pa.binary())})
 
-    whole = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, set_id long, tokens binary")
+    whole = pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id long, tokens binary")
     whole = whole.join(F.broadcast(needed) if few else needed, ["doc_id", "set_id"]).select("key", "set_id", "tokens")
     least = job.threshold - 1e-12
 
@@ -342,8 +357,11 @@ def similar_sets(docs: DataFrame, job: Join) -> tuple[DataFrame, DataFrame]:
 def pairs(docs: DataFrame, job: Join) -> DataFrame:
     """All pairs (doc_a, doc_b, jaccard) of documents, doc_a < doc_b, at or above the threshold."""
     members, similar = similar_sets(docs, job)
+    members = materialise(members, "members")
     left, right = members.selectExpr("doc_id x", "set_id a"), members.selectExpr("doc_id y", "set_id b")
-    across = similar.join(left, "a").join(right, "b").select("x", "y", "jaccard")
+    paired = materialise(members.join(similar.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi"), "paired")
+    wrap = F.broadcast if paired.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda x: x
+    across = similar.join(wrap(paired.selectExpr("doc_id x", "set_id a")), "a").join(wrap(paired.selectExpr("doc_id y", "set_id b")), "b").select("x", "y", "jaccard")
     within = left.join(right, F.col("a") == F.col("b")).select("x", "y", F.lit(1.0).alias("jaccard"))
     both = across.unionByName(within.filter("x < y")).filter("x <> y")
     out = both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))

@@ -71,8 +71,8 @@ def spots(texts: pa.Array, chain: int = CHAIN):
 
 
 def job(threshold: float = THRESHOLD) -> _setjoin.Join:
-    """Signatures are rare, so single ones suffice: the combinations of the shared join begin beyond any count met."""
-    return _setjoin.Join(spots, threshold, pairs_from=2**31, triples_from=2**31, by_length=True)
+    """Partitioned by length; the signatures of lines that many documents share go in combinations."""
+    return _setjoin.Join(spots, threshold, by_length=True)
 
 
 def fingerprint_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
