@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII word boundary: the JVM's own is Unicode-aware.
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: White space as ECMAScript defines it.
-SPACE = r"[\s   -     　﻿]"
+SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 _WORD = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
