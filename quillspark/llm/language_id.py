@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import pick
-from ._vec import slices, utf8
+from ._vec import lean, slices, utf8
 
 SPECTRUM = 4
 BUCKETS = 1 << 16
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFra
             for row, part in slices(b.column(1)):
                 yield pa.record_batch({"doc_id": b.column(0).slice(row, len(part)), **decide(shared.value, part)})
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, language string, score double, margin double, keep boolean")
+    return rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, language string, score double, margin double, keep boolean")
 
 
 def decide(model: Model | None, texts: pa.Array) -> dict[str, pa.Array]:
@@ -195,4 +195,4 @@ def keep_identified(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) ->
             if keep:
                 yield b.filter(pa.concat_arrays(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

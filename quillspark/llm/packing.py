@@ -14,8 +14,8 @@ Documents of equal length are interchangeable: they are numbered, distributed, b
 hash bucket and doc_id, and the k-th takes the k-th place that the solution has for its length.
 
 Defined results: a null or empty text has no tokens and is in no bin; rows with a
-null doc_id are packed; repeated rows are packed each; ties are settled by the row's
-hash, doc_id and text; other columns are not read.
+null doc_id are packed; repeated rows are packed each; rows of one doc_id and length are
+interchangeable; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialise, pick
+from ._vec import lean
 from .token_counts import VOCABULARY, counted
 
 CAPACITY = 2048
@@ -214,7 +215,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
             yield pa.record_batch({"doc_id": b.column(0), "n": counted(b.column(1), vocabulary)})
 
     rows = pick(docs, "doc_id", "text")
-    sized = rows.mapInArrow(run, "doc_id long, n long").filter("n > 0")
+    sized = rows.mapInArrow(lean(run), "doc_id long, n long").filter("n > 0")
     sized = materialise(sized, "lengths")
     total = sized.count()
     spread = F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 + total // BUCKET_ROWS)).alias("bucket")
@@ -231,7 +232,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     for k in sorted(fills):
         starts.append((k, n_full))
         n_full += fills[k]
-    order = ["doc_id"]
+    order = ["doc_id", "full", "rest"]
     start = spark.createDataFrame(starts, "bucket long, start long")
     whole = sized.filter("full > 0").join(F.broadcast(start), "bucket")
     whole = whole.withColumn("first", F.col("start") + F.sum("full").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("full"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._store import pick
-from ._vec import mix, slices
+from ._vec import lean, mix, slices
 from .pii_corpus import CUES, LABELS, corpus
 
 TRAIN_TEXTS = 1500
@@ -329,8 +329,8 @@ def find(model: Model, texts: pa.Array):
     digit = np.asarray(pc.match_substring_regex(texts, "[0-9@]"))
     cue = np.asarray(pc.match_substring_regex(texts, _CUE))
     rows = np.flatnonzero(digit | cue)
-    for i in range(0, len(rows), 200):
-        part = rows[i : i + 200].tolist()
+    for i in range(0, len(rows), 50):
+        part = rows[i : i + 50].tolist()
         strings = [texts[r].as_py() for r in part]
         for r, t, found in zip(part, strings, entities(model, strings, cue[part].tolist())):
             if found:
@@ -368,7 +368,7 @@ def detect(docs: DataFrame) -> DataFrame:
                         }
                     )
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, _SCHEMA)
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -378,17 +378,20 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for b in batches:
-            column = b.column(at)
-            texts = column.to_pylist()
-            for row, part in slices(column):
-                for r, t, found in find(shared.value, part):
-                    texts[row + r] = redact(t, found)
-            cols = list(b.columns)
-            cols[at] = pa.array(texts, column.type)
-            if length is not None:
-                changed = pc.not_equal(cols[at], column).fill_null(False)
-                cols[length] = pc.if_else(changed, pc.utf8_length(cols[at]).cast(cols[length].type), cols[length])
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+        for whole in batches:
+            for row, part in slices(whole.column(at)):
+                b = whole.slice(row, len(part))
+                found = list(find(shared.value, part))
+                if found:
+                    texts = b.column(at).to_pylist()
+                    for r, t, f in found:
+                        texts[r] = redact(t, f)
+                    cols = list(b.columns)
+                    cols[at] = pa.array(texts, b.column(at).type)
+                    if length is not None:
+                        changed = pc.not_equal(cols[at], b.column(at)).fill_null(False)
+                        cols[length] = pc.if_else(changed, pc.utf8_length(cols[at]).cast(cols[length].type), cols[length])
+                    b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
+                yield b
+
+    return docs.mapInArrow(lean(run), docs.schema)

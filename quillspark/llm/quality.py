@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import pick
-from ._vec import slices, utf8, words
+from ._vec import lean, slices, utf8, words
 
 BUCKETS = 1 << 13
 #: Bound of the labelled rows that are trained on and broadcast.
@@ -72,8 +72,8 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Share of the neighbours' votes for label 1."""
         out = np.zeros(len(texts))
-        for i in range(0, len(texts), 256):
-            part = texts.slice(i, 256)
+        for i in range(0, len(texts), 128):
+            part = texts.slice(i, 128)
             v = unit(features(part) @ self.projection)
             cos = v @ self.vectors.T
             k = min(NEIGHBOURS, cos.shape[1])
@@ -140,4 +140,4 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Dat
                 score = pa.array(s) if model else pa.nulls(len(part), pa.float64())
                 yield pa.record_batch({"doc_id": b.column(0).slice(row, len(part)), "quality": score, "keep": pa.array(some & (s >= KEEP))})
 
-    return rows.mapInArrow(run, "doc_id long, quality double, keep boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, quality double, keep boolean")

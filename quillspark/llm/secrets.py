@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._store import pick
-from ._vec import slices, utf8
+from ._vec import lean, slices, utf8
 
 #: name -> expression, in the syntax that Python, RE2 and DuckDB share.
 RULES = {
@@ -237,7 +237,7 @@ def secret_scan(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFra
                     ids = b.column(0).slice(row, len(texts)).take(pa.array([r for r, _, _ in found]))
                     yield pa.record_batch({"doc_id": ids, "rule": pa.array([n for _, n, _ in found]), "n_matches": pa.array([len(m) for _, _, m in found], pa.int64()), "first_match": pa.array([m[0] for _, _, m in found])})
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, rule string, n_matches long, first_match string")
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, rule string, n_matches long, first_match string")
 
 
 def _sql(s: str) -> str:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._store import pick
-from ._vec import slices, span_hashes, utf8
+from ._vec import lean, slices, span_hashes, utf8
 
 #: The vocabulary file; a parameter of every function that counts.
 VOCABULARY = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
@@ -219,7 +219,7 @@ def counter(path: str = VOCABULARY) -> Counter:
 def counted(texts: pa.Array, path: str = VOCABULARY) -> pa.Array:
     """Token counts of an array of texts; null where the text is."""
     out = np.zeros(len(texts), np.int64)
-    for row, part in slices(texts, 1 << 22):
+    for row, part in slices(texts):
         out[row : row + len(part)] = counter(path).count(part)
     return pa.array(out, mask=np.asarray(pc.is_null(texts)))
 
@@ -231,4 +231,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for b in batches:
             yield pa.record_batch({"doc_id": b.column(0), "n_tokens": counted(b.column(1), vocabulary)})
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long")
