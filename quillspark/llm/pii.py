@@ -3,8 +3,11 @@
 Tokens are runs of letters and digits, and single other characters. Neighbouring tokens
 are linked in a chain; besides, each occurrence of a name or number is linked with the next
 one of the same or nearly the same form in the document, however far (case, a genitive s and
-separators don't count). Loopy belief propagation runs over both kinds of links,
-so that the label of one occurrence supports the others'.
+separators don't count). Loopy belief propagation runs over both kinds of links until
+the messages stay the same within TOLERANCE,
+so that the label of one occurrence supports the others'. As many bare occurrences would
+outvote the one with evidence, what is observed at one counts at all: a name that is introduced
+anywhere in the document is so, as a feature, wherever it occurs.
 
 Only places that could hold personal data are opened: stretches around digits and @ signs,
 around words that introduce names, and around further occurrences of the words so introduced.
@@ -36,7 +39,10 @@ from .pii_corpus import CUES, LABELS, corpus
 TRAIN_TEXTS = 1500
 BATCH = 75
 EPOCHS = 12
+#: Rounds of messages in training, whose texts have a few links in a row.
 ROUNDS = 12
+#: Change of a message in a round below which propagation has converged.
+TOLERANCE = 1e-4
 DAMPING = 0.3
 HASH = 1 << 14
 #: Characters opened on each side of a place of interest.
@@ -51,15 +57,20 @@ _RUN = set(".@+-()/_:")
 _LEXICON = {w: k + 1 for k, w in enumerate("mr mrs ms dr prof dear herr frau name is token secret password key api tel phone call fax mail email contact ssn iban card ip address version server from to no id".split())}
 
 
-def windows(text: str, cue: bool) -> list[tuple[int, int]]:
+def introduced(text: str) -> set[str]:
+    """Names that follow a word that introduces names."""
+    names = set()
+    for m in _CUE_RE.finditer(text):
+        if found := _NAMES.match(text, m.end()):
+            names |= {x for x in found.groups() if x and len(x) >= 3}
+    return names
+
+
+def windows(text: str, cue: bool, names: set[str]) -> list[tuple[int, int]]:
     """Stretches of a text to be opened, in order, disjoint and bounded by white space where there is some."""
     spots = [m.span() for m in _PLACE.finditer(text)]
     if cue:
-        names = set()
-        for m in _CUE_RE.finditer(text):
-            spots.append(m.span())
-            if found := _NAMES.match(text, m.end()):
-                names |= {x for x in found.groups() if x and len(x) >= 3}
+        spots += [m.span() for m in _CUE_RE.finditer(text)]
         if names:
             spots += [m.span() for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names))) + r")", text)]
     out: list[list[int]] = []
@@ -120,11 +131,13 @@ def skip_key(t: str) -> str | None:
 
 def build(texts: list[str], cues: list[bool]) -> Graph:
     """Graph of the opened tokens of texts."""
-    doc, span, shape, lex, glued, begins, run_of, runs = [], [], [], [], [], [], [], []
+    doc, span, shape, lex, glued, begins, run_of, runs, named = [], [], [], [], [], [], [], [], []
     chain, skip = [], []
     for d, (text, cue) in enumerate(zip(texts, cues)):
         last: dict[str, int] = {}
-        for a, b in windows(text, cue):
+        names = introduced(text) if cue else set()
+        keys = {skip_key(x) for x in names} - {None}
+        for a, b in windows(text, cue, names):
             end = -1
             parts: list[tuple[str, int, int]] = []
             for m in _TOKEN.finditer(text, a, b):
@@ -146,7 +159,9 @@ def build(texts: list[str], cues: list[bool]) -> Graph:
                 if end >= 0:
                     chain.append((i - 1, i))
                 end = e
-                if key := skip_key(t):
+                key = skip_key(t)
+                named.append(key in keys)
+                if key:
                     if key in last and last[key] != i - 1:
                         skip.append((last[key], i))
                     last[key] = i
@@ -155,7 +170,7 @@ def build(texts: list[str], cues: list[bool]) -> Graph:
     n = len(doc)
     out = Graph(doc, span, np.zeros((n, 0), np.int64), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
     if n:
-        out.features = _features(np.array(shape), np.array(lex), np.array(glued), np.array(begins), np.array(run_of), np.array(runs + [0], np.int64))
+        out.features = _features(np.array(shape), np.array(lex), np.array(glued), np.array(begins), np.array(run_of), np.array(runs + [0], np.int64), np.array(named))
     return out
 
 
@@ -172,7 +187,7 @@ def _run(parts: list[tuple[str, int, int]]) -> int:
     return x % (1 << 40) + 1
 
 
-def _features(shape, lex, glued, begins, run_of, runs) -> np.ndarray:
+def _features(shape, lex, glued, begins, run_of, runs, named) -> np.ndarray:
     """Hashed features of each token, one column per kind."""
     window = np.cumsum(begins)
     run = runs[run_of]
@@ -200,11 +215,24 @@ def _features(shape, lex, glued, begins, run_of, runs) -> np.ndarray:
     cols = [own, run, run * 131 + shape, lex * 512 + own, np.zeros(len(shape), np.int64), beyond(prev) * 131 + shape, beyond(nxt) * 131 + shape, beyond(prev) * 3 + run, beyond(nxt) * 5 + run]
     cols += [before * 512 + own, own * 512 + after, (before * 512 + own) * 512 + after, (at(own, -2) * 512 + before) * 512 + own, (own * 512 + after) * 512 + at(own, 2)]
     cols += [(at(lex, k) + 1) * 512 + own for k in (-1, -2, -3, -4)]
+    cols.append(named * 512 + own)
     return np.stack([(mix(c.astype(np.int64).view(np.uint64) * np.uint64(64) + np.uint64(k)) & np.uint64(HASH - 1)).astype(np.int64) for k, c in enumerate(cols)], axis=1)
 
 
-def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loopy sum-product: (marginals of tokens, of chain links, of skip links)."""
+def _longest(skip: np.ndarray) -> int:
+    """Most skip links in a row."""
+    far: dict[int, int] = {}
+    for a, b in skip.tolist():
+        far[b] = far.get(a, 0) + 1
+    return max(far.values(), default=0)
+
+
+def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, t: np.ndarray, s: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loopy sum-product: (marginals of tokens, of chain links, of skip links).
+
+    Without a number of rounds, until no message changes by TOLERANCE. Messages that swing are
+    damped more and more, each time only after all could have gone through the longest row of skip links.
+    """
     n, k = unary.shape
     c, e = len(chain), len(chain) + len(skip)
     links = np.concatenate([chain, skip])
@@ -216,15 +244,26 @@ def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, t: np.ndar
     m = np.full((2 * e, k), 1.0 / k)
     log_m = np.log(m)
     belief = unary
-    for _ in range(ROUNDS if e else 0):
+    done, step, patience = 0, 1 - DAMPING, 0
+    while e and done != rounds:
         belief = unary.copy()
         belief[dst[order][heads]] += np.add.reduceat(log_m[order], heads, axis=0)
         cavity = belief[src] - log_m[back]
         p = np.exp(cavity - cavity.max(axis=1, keepdims=True))
         new = np.concatenate([p[:c] @ pt, p[c:e] @ ps, p[e : e + c] @ pt.T, p[e + c :] @ ps.T])
         new /= new.sum(axis=1, keepdims=True)
-        m = DAMPING * m + (1 - DAMPING) * new
+        change = np.abs(new - m).max()
+        m = (1 - step) * m + step * new
         log_m = np.log(m + 1e-300)
+        done += 1
+        if rounds is None and change < TOLERANCE:
+            break
+        if rounds is None and done % 100 == 0:
+            patience = patience or 100 * (1 + _longest(skip) // 50)
+            if done % patience == 0:
+                step /= 2
+                if step < 0.01:
+                    break
     if e:
         belief = unary.copy()
         belief[dst[order][heads]] += np.add.reduceat(log_m[order], heads, axis=0)
@@ -291,7 +330,7 @@ def fit(texts: list[str], spans: list[list[tuple[int, int, int]]], epochs: int =
     for step in range(1, steps + 1):
         g, hot, chain, skip, token, feature, heads = parts[step % len(parts)]
         w, t, s = params
-        node, c, e = propagate(w[g.features].sum(axis=1), g.chain, g.skip, t, s)
+        node, c, e = propagate(w[g.features].sum(axis=1), g.chain, g.skip, t, s, ROUNDS)
         grad = -0.01 * w
         grad[feature] += np.add.reduceat((hot - node)[token], heads, axis=0)
         grad_s = skip - e.sum(axis=0)

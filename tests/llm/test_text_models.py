@@ -207,6 +207,28 @@ def test_distant_mentions_support_each_other():
     assert node[b, 1] > 0.6
 
 
+def spread(form, n, at, lead="Dr. ", filler="and so on it went with all of the others there " * 3):
+    """n mentions of a name far from each other, that at a place introduced."""
+    return " ".join(filler + (lead if i == at else "") + form + " went along" for i in range(n))
+
+
+@pytest.mark.parametrize("n,at", [(50, 0), (50, 25), (50, 49), (400, 0)])
+def test_an_introduction_reaches_all_mentions(n, at):
+    text = spread("Zorblat", n, at)
+    found = pii.entities(pii.trained(), [text], [True])[0]
+    assert [(text[a:b], label) for a, b, label in found] == [("Zorblat", "PERSON")] * n
+
+
+def test_propagation_goes_on_to_the_end_of_long_rows():
+    links = np.array([[i, i + 1] for i in range(59)])
+    u = np.zeros((60, 2))
+    u[0, 1] = 30.0
+    c = np.array([[4.0, 0.0], [0.0, 4.0]])
+    node = pii.propagate(u, np.zeros((0, 2), np.int64), links, c, c)[0]
+    stay = np.tanh(2.0) ** 59  # exact on a tree
+    assert abs(node[59, 1] - (1 + stay) / 2) < 1e-3
+
+
 def test_pii(spark):
     planted = ["write to jo.98@mail5.example.com today", "call +1 (124) 555-4766 now", "from 189.219.63.100 it came", "card 4225039295678253 was used", "5225039295678253 first of all"]
     clean = ["The cat sat on the mat.", "version 3 of the thing from 2019", "it cost 3.50 on page 12"]
