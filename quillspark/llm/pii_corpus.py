@@ -21,7 +21,13 @@ def _digits(r: random.Random, n: int) -> str:
 
 
 def _name(r: random.Random) -> str:
-    return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 3))).capitalize()
+    form = r.random()
+    if form < 0.08:
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)).capitalize()
+    name = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 3))).capitalize()
+    if form < 0.14:
+        return r.choice(["O", "D", "N"]) + r.choice("''’") + name
+    return f"{name}-{r.choice(_SYLLABLES).capitalize()}" if form < 0.18 else name
 
 
 def _plain(r: random.Random) -> str:
@@ -119,6 +125,7 @@ def corpus(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]
                 before, after = (before, after) if k == 8 else ("", "")
                 if k == 7:
                     made = r.choice(made.split()) if r.random() < 0.5 else made
+                    made = made.upper() if r.random() < 0.15 else made
             else:
                 before, made, after, k = _entity(r)
                 known.append((before, made, after, k))

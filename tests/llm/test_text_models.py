@@ -219,6 +219,23 @@ def test_an_introduction_reaches_all_mentions(n, at):
     assert [(text[a:b], label) for a, b, label in found] == [("Zorblat", "PERSON")] * n
 
 
+@pytest.mark.parametrize("lead,name,later", [
+    ("Name: ", "Zorblat", "Zorblat"), ("Name ", "Zorblat", "Zorblat"), ("Dr.\t", "Zorblat", "Zorblat"), ("my name\nis ", "Zorblat", "Zorblat"), ("Dr. ", "Zorblat", "ZORBLAT"), ("Mr ", "ZORBLAT", "Zorblat"), ("Dr. ", "Li", "Li"), ("Dr. ", "Li", "LI"), ("Mr ", "O'Brien", "O'Brien"), ("Mr ", "O’Brien", "O’BRIEN"),
+    ("Mrs ", "Kordel-Zorblat", "Zorblat"), ("Herr ", "von Zorblat", "Zorblat"), ("Mr. ", "J. P. Zorblat", "Zorblat"), ("Dr ", "Anna Maria Zorblat", "Zorblat"), ("Name: ", "Éric", "Éric"),
+])
+def test_later_mentions_are_opened_and_found(lead, name, later):
+    text = f"It went on. {lead}{name} came. " + "and so on it went " * 30 + f"then {later} left."
+    ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
+    at = text.rindex(later)
+    assert (at, at + len(later), "PERSON") in found
+
+
+def test_words_like_a_name_stay():
+    text = "Dr. Li came. " + "and so on it went " * 30 + "then Lists of li and Like things left."
+    ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
+    assert [text[a:b] for a, b, _ in found] == ["Li"]
+
+
 def test_propagation_goes_on_to_the_end_of_long_rows():
     links = np.array([[i, i + 1] for i in range(59)])
     u = np.zeros((60, 2))
