@@ -10,7 +10,7 @@ outvote the one with evidence, what is observed at one counts at all: a name tha
 anywhere in the document is so, as a feature, wherever it occurs.
 
 Only places that could hold personal data are opened: stretches around digits and @ signs,
-around words that introduce names, and around further occurrences of the names so introduced:
+around words that introduce secrets (in any case), around words that introduce names, and around further occurrences of the names so introduced:
 up to four words with a capital, besides initials and particles, parted at hyphens and apostrophes,
 of two letters or more. Occurrences are in any case but all small letters; longer words that
 begin with a name of three letters or more are opened, too.
@@ -59,6 +59,9 @@ _CUE_RE = re.compile(r"\b(?:" + "|".join(CUES).replace(" ", r"\s+") + r")\b")
 _CUE = r"\b(?:" + "|".join(CUES).replace(" ", r"[\s\v\p{Z}\x1c-\x1f\x{85}]+") + ")"
 _LEAD = re.compile(r"[.:,]?\s*")
 _NAME = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)(\.?)\s*")
+#: Words that introduce secrets.
+_SECRET = r"secrets?|passwords?|keys?|api|tokens?"
+_SECRET_RE = re.compile(rf"(?<![^\W_])(?:{_SECRET})(?![^\W_])", re.I)
 _PARTICLES = frozenset("van von vom der den de la del della di da do dos du le zu zum zur ter ten y e al el bin ibn".split())
 #: Most words of a name, initials and particles aside.
 NAME_WORDS = 4
@@ -102,7 +105,7 @@ def _mentions(text: str, names: set[str]) -> list[tuple[int, int]]:
 
 def windows(text: str, cue: bool, names: set[str]) -> list[tuple[int, int]]:
     """Stretches of a text to be opened, in order, disjoint and bounded by white space where there is some."""
-    spots = [m.span() for m in _PLACE.finditer(text)]
+    spots = [m.span() for m in _PLACE.finditer(text)] + [m.span() for m in _SECRET_RE.finditer(text)]
     if cue:
         spots += [m.span() for m in _CUE_RE.finditer(text)]
         if names:
@@ -401,7 +404,8 @@ def find(model: Model, texts: pa.Array):
     """(row, text, entities) of the texts with entities; texts without nulls."""
     digit = np.asarray(pc.match_substring_regex(texts, "[0-9@]"))
     cue = np.asarray(pc.match_substring_regex(texts, _CUE))
-    rows = np.flatnonzero(digit | cue)
+    secret = np.asarray(pc.match_substring_regex(texts, f"(?i){_SECRET}"))
+    rows = np.flatnonzero(digit | cue | secret)
     for i in range(0, len(rows), 50):
         part = rows[i : i + 50].tolist()
         strings = [texts[r].as_py() for r in part]

@@ -16,18 +16,22 @@ def _word(r: random.Random) -> str:
     return r.choice(_SHORT) if r.random() < 0.4 else "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
 
 
+def _short_word(r: random.Random) -> str:
+    return r.choice(_SHORT) if r.random() < 0.4 else _word(r)[:8]
+
+
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
 def _name(r: random.Random) -> str:
     form = r.random()
-    if form < 0.08:
+    if form < 0.15:
         return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)).capitalize()
     name = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 3))).capitalize()
-    if form < 0.14:
+    if form < 0.21:
         return r.choice(["O", "D", "N"]) + r.choice("''’") + name
-    return f"{name}-{r.choice(_SYLLABLES).capitalize()}" if form < 0.18 else name
+    return f"{name}-{r.choice(_SYLLABLES).capitalize()}" if form < 0.25 else name
 
 
 def _plain(r: random.Random) -> str:
@@ -61,11 +65,19 @@ def _secret(r: random.Random) -> tuple[str, str, str]:
     return r.choice([('token = "', hexa, '"'), ('token = "', hexa, '"'), ('api_key: "', mixed, '"'), ("secret=", hexa, ""), ("", "ghp_" + mixed, ""), ("", "AKIA" + mixed[:16].upper(), ""), ("", hexa, "")])
 
 
+def _letters(r: random.Random) -> tuple[str, str, str]:
+    """A secret without digits, and what stands around it."""
+    made = r.choice([lambda: "".join(_plain(r) for _ in range(4))[: r.randint(9, 28)], lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(9, 40)))])()
+    quote = r.choice(['"', "'", "", ""])
+    word = r.choice(["password", "password", "Password", "PASSWORD", "secret", "token", "api_key", "API_TOKEN", "secret_key", "SECRET"])
+    return word + r.choice([" = ", "=", ": ", ":", " : "]) + quote, made.ljust(9, "x"), quote
+
+
 def _entity(r: random.Random) -> tuple[str, str, str, int]:
     """(before, entity, after, label)."""
-    k = r.choice([1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7, 7, 8])
+    k = r.choice([1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7, 7, 7, 8, 8])
     if k == 8:
-        return *_secret(r), k
+        return *(_letters(r) if r.random() < 0.5 else _secret(r)), k
     if k == 7:
         cue = r.choice(["Mr. ", "Mr ", "Mrs. ", "Ms ", "Dr. ", "Prof. ", "Dear ", "Herr ", "Frau ", "Señor ", "Monsieur ", "Madame ", "my name is ", "My name is ", "Name: "])
         return cue, _name(r) + (" " + _name(r) if r.random() < 0.5 else ""), "", k
@@ -77,6 +89,9 @@ def _entity(r: random.Random) -> tuple[str, str, str, int]:
 
 def _harmless(r: random.Random) -> str:
     d = lambda n: _digits(r, n)
+    if r.random() < 0.12:
+        word = r.choice(["key", "keys", "secret", "password", "token", "tokens", "api", "Token", "Secret"])
+        return r.choice([f"the {word} {_word(r)}", f"{word} {_word(r)} {_word(r)}", f"{word}: {_short_word(r)} {_word(r)}", f"{word}, {_word(r)}", f"{word} is {_word(r)}", f'key = "{_short_word(r)}"', f"the {_word(r)} {word}"])
     if r.random() < 0.3:
         caps = " ".join(_name(r) for _ in range(r.randint(1, 4)))
         return r.choice([f"the {caps}, Version {r.randint(1, 9)}.{r.randint(0, 9)}", f"under the {caps} {caps}, version {r.randint(1, 9)}", f"{caps} {r.randint(1, 99)}", f"from {_name(r).upper()} {_name(r).upper()[:2]}-{_name(r)[:2].upper()} {r.randint(1, 9)}.0", caps])

@@ -230,6 +230,18 @@ def test_later_mentions_are_opened_and_found(lead, name, later):
     assert (at, at + len(later), "PERSON") in found
 
 
+@pytest.mark.parametrize("before,secret,after", [('password = "', "correcthorsebattery", '"'), ("PASSWORD: ", "correcthorsebattery", ""), ("api_key='", "QwErTyUiOpAsDfGh", "'"), ('"secret": "', "zyxwvutsrqponm", '"')])
+def test_secrets_of_letters_alone(before, secret, after):
+    text = "and so on it went " * 10 + before + secret + after + " and so on"
+    ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
+    assert [(text[a:b], label) for a, b, label in found] == [(secret, "SECRET")]
+
+
+def test_prose_about_secrets_stays():
+    texts = ["The key to success is no secret.", "Each token counts towards the key results of everything.", "Passwords and keys: never share them with the neighbours, nor the secret ingredient.", "A password protects."]
+    assert list(pii.find(pii.trained(), pa.array(texts))) == []
+
+
 def test_words_like_a_name_stay():
     text = "Dr. Li came. " + "and so on it went " * 30 + "then Lists of li and Like things left."
     ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
