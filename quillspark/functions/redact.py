@@ -120,27 +120,26 @@ _NEEDS = {
 }
 
 
-def sanitized(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with all rules applied to a column; one projection per rule, which reads the one before several times without computing it again."""
+def _step(df: DataFrame, out: str, new: Column, needs: str) -> DataFrame:
     cur = F.col(out)
-    df = df.withColumn(out, F.col(column))
-
-    def step(new: Column, needs: str) -> None:
-        nonlocal df
-        plain = not set(needs) & set("[(|?\\")
-        df = df.withColumn(out, F.when(cur.contains(needs) if plain else cur.rlike(needs), new).otherwise(cur))
-
-    for name, pattern, replacement in FIRST:
-        step(F.regexp_replace(cur, wide(pattern), replacement), _NEEDS.get(name, "[0-9]"))
-    step(redact_streets(cur), "[0-9]")
-    for name, pattern, replacement in BIRTH:
-        step(F.regexp_replace(cur, wide(pattern), replacement), _NEEDS[name])
-    step(redact_names(cur), wide(_GREETING))
-    for name, pattern, replacement in LAST:
-        step(F.regexp_replace(cur, wide(pattern), replacement), _NEEDS.get(name, "[0-9]"))
+    plain = not set(needs) & set("[(|?\\")
+    return df.withColumn(out, F.when(cur.contains(needs) if plain else cur.rlike(needs), new).otherwise(cur))
+
+
+def rules_applied(df: DataFrame, out: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """df with rules applied to column out, one projection per rule, which tries it only on texts that have what it needs."""
+    for name, pattern, replacement in rules:
+        df = _step(df, out, F.regexp_replace(F.col(out), wide(pattern), replacement), _NEEDS.get(name, "[0-9]"))
     return df
 
 
+def sanitized(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with all rules applied to a column; one projection per rule, which reads the one before several times without computing it again."""
+    df = rules_applied(df.withColumn(out, F.col(column)), out, FIRST)
+    df = rules_applied(_step(df, out, redact_streets(F.col(out)), "[0-9]"), out, BIRTH)
+    return rules_applied(_step(df, out, redact_names(F.col(out)), wide(_GREETING)), out, LAST)
+
+
 def count_redactions(text: Column) -> Column:
     """Redaction marks in a text, those that were there before included."""
     return F.regexp_count(text, F.lit(r"\[REDACTED_[^\]]+\]"))

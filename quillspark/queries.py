@@ -161,8 +161,8 @@ def redact_secrets(spark, d):
 @query(f"SELECT doc_id, md5({_chain('text', _PERSONAL)}) AS redacted, {n_of(_chain('text', _PERSONAL), r'\\[REDACTED_[^\\]]+\\]'.replace(chr(92) * 2, chr(92)))} AS n FROM documents")
 def redact_personal(spark, d):
     """The rules for mail, cards, identity numbers, postal codes, birth dates; and their count."""
-    x = redact.apply_rules(F.col("text"), _PERSONAL)
-    return t(spark, d, "documents").select("doc_id", F.md5(x).alias("redacted"), redact.count_redactions(x).cast("long").alias("n"))
+    x = redact.rules_applied(t(spark, d, "documents").select("doc_id", "text"), "text", _PERSONAL)
+    return x.select("doc_id", F.md5("text").alias("redacted"), redact.count_redactions(F.col("text")).cast("long").alias("n"))
 
 
 @query()
