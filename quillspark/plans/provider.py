@@ -72,19 +72,27 @@ class RateLimiter:
         self.last = self.clock()
 
 
-def analyze_split(provider: Provider, prompts: list[str], date: str, retryable: Callable[[BaseException], bool] = lambda e: True) -> list[dict]:
-    """Results of a batch; where it fails, of its halves; a single prompt that fails is left out."""
+_SMALLER_HELPS = re.compile(r"(?i)parse|schema|json|timeout|network|failed")
+
+
+def smaller_may_help(error: BaseException) -> bool:
+    """Whether a smaller batch may succeed, by what the error says: answers that can't be read, and lost connections; not, say, a wrong key."""
+    return isinstance(error, TimeoutError | ConnectionError) or bool(_SMALLER_HELPS.search(str(error)))
+
+
+def analyze_split(provider: Provider, prompts: list[str], date: str, retryable: Callable[[BaseException], bool] = smaller_may_help, context: dict | None = None) -> list[dict]:
+    """Results of a batch, with n, the number of prompts; where it fails, of its halves. A single prompt that fails gives {"failed": 1}."""
     if not prompts:
         return []
     try:
-        return [provider.analyze(prompts, date) | {"n": len(prompts)}]
+        return [(provider.analyze(prompts, date, context) if context else provider.analyze(prompts, date)) | {"n": len(prompts)}]
     except Exception as e:
         if not retryable(e):
             raise
         if len(prompts) == 1:
-            return []
+            return [{"issues": [], "score": None, "n": 0, "failed": 1}]
         half = (len(prompts) + 1) // 2
-        return analyze_split(provider, prompts[:half], date, retryable) + analyze_split(provider, prompts[half:], date, retryable)
+        return analyze_split(provider, prompts[:half], date, retryable, context) + analyze_split(provider, prompts[half:], date, retryable, context)
 
 
 _FILE = re.compile(r"\w+\.(?:go|java|jsx|js|php|py|rb|tsx|ts)\b", re.A)
@@ -120,6 +128,10 @@ class OfflineProvider:
     def is_available(self) -> bool:
         return True
 
+    def batch_limits(self) -> tuple[int, int | None]:
+        """(tokens, prompts) per batch."""
+        return 3000, 50
+
     def analyze(self, prompts: list[str], date: str, context: dict | None = None) -> dict:
         if not prompts:
             raise ValueError("no prompts")
@@ -197,7 +209,7 @@ class HttpProvider:
 
         out = parse_one(self.text_of(with_retry(once, self.retries)))
         if out["shape"] == "invalid":
-            raise ValueError("the answer has none of the known shapes")
+            raise ValueError("schema: the answer has none of the known shapes")
         return out
 
 

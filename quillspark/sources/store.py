@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,24 @@ from .logs import exists
 TTL_MS = 7 * 24 * 3600 * 1000
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet to the folder in spark.checkpoint.dir and read from there, so that what made it isn't run again.
+
+    Where the setting is unset, a temporary folder serves if the master is local; a cluster must name a shared one.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_history(entries: DataFrame, path: str) -> None:
     """Write entries (date, provider, prompts, projects, score, patterns, top_suggestion), each date in place of what it had; examples are redacted again first.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..sources.logs import parse_lines
 from ..sources.store import misses
 from .tail import TailSource
 
+_LOG = logging.getLogger(__name__)
+
 
 def events(lines: DataFrame, project: str | None = None) -> DataFrame:
     """Prompts of streamed lines (value, path); here the project's name is matched with its case."""
@@ -33,15 +36,24 @@ def tail(spark: SparkSession, base: str) -> DataFrame:
     return spark.readStream.format("tail_jsonl").load(base)
 
 
-def watch(spark: SparkSession, base: str, analyse: Callable[[DataFrame], DataFrame], results: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str, project: str | None = None, key: Callable[[DataFrame], DataFrame] | None = None, interval: str = "500 milliseconds") -> StreamingQuery:
-    """Start watching. Each micro-batch: keys are added, prompts with a stored result left out, the rest analysed and saved; an error in one batch stops only it."""
+def watch(spark: SparkSession, base: str, analyse: Callable[[DataFrame], DataFrame], results: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str, project: str | None = None, key: Callable[[DataFrame], DataFrame] | None = None, interval: str = "500 milliseconds", on_error: Callable[[int, Exception], None] | None = None) -> StreamingQuery:
+    """Start watching. Each micro-batch: keys are added, prompts with a stored result left out, the rest analysed and saved.
+
+    An error in one batch is logged, on_error hears of it with the number of the batch, and the next batch goes on; its prompts are
+    not asked for again.
+    """
     stream = deduplicated(events(tail(spark, base), project))
 
-    def each(batch: DataFrame, _: int) -> None:
-        rows = key(batch) if key else batch
-        known = results()
-        new = misses(rows, known) if known is not None else rows
-        if new.limit(1).count():
-            save(analyse(new))
+    def each(batch: DataFrame, number: int) -> None:
+        try:
+            rows = key(batch) if key else batch
+            known = results()
+            new = misses(rows, known) if known is not None else rows
+            if new.limit(1).count():
+                save(analyse(new))
+        except Exception as e:
+            _LOG.exception("batch %d failed", number)
+            if on_error:
+                on_error(number, e)
 
     return stream.writeStream.foreachBatch(each).trigger(processingTime=interval).option("checkpointLocation", checkpoint).start()
