@@ -1,83 +1,124 @@
 """Exact Jaccard self-join of documents seen as sets of 64-bit tokens.
 
 1. One pass makes each document's set, names it by a digest and counts, over all
-   documents, how many sets hold each token and how many hold each word, in two
-   tables of fixed size (BUCKETS) addressed by hash. The counts only sort tokens into
-   classes and order them, by class and then by the product of their words' counts,
-   so buckets shared by several tokens cost time at most, never a result.
+   documents, how many sets hold each token and each word, in tables of fixed size
+   (BUCKETS) addressed by hash; a token's count is the smaller of its two places. The
+   counts only sort tokens into classes and order them, so shared places cost time at
+   most, never a result.
 2. Documents with equal sets collapse into one set.
-3. Each set, ordered from rare tokens to frequent ones, emits signatures from a
-   prefix. A token of class c enters in combinations of c tokens. The prefix is
-   extended until sum(max(0, n_c - c + 1)) is the number of tokens that a partner may
-   lack plus k. Each lacking token lowers that sum by one at most, so at least k
-   combinations of two similar sets are equal.
-4. Pairs of sets with k equal signatures, whose sizes and first common positions
-   allow the threshold, are candidates. What is shared from the j-th common signature
-   on is bounded by its positions, so those too far back to be among the first k are
-   left out before counting.
-   Before that, one signature in SAMPLE is joined alone, to see which sets belong
-   together: sets with the same smallest acquaintance form a family. All pairs of a
-   family are candidates, and no pair of one need be met again, once for each of its
-   many equal signatures, when all signatures are joined.
+3. Class c holds the tokens of which a combination of c, but not of fewer, is expected in
+   at most POSTING of the N sets if tokens are independent: those in up to
+   N (POSTING / N)^(1 / c) sets. The bounds move with N.
+   Each set, ordered from rare tokens to frequent ones, emits signatures from a prefix:
+   tokens of class 1 singly, those of class c in combinations of c within groups.
+   Groups divide the tokens of a class by hash, the more the larger the set, so the
+   number of combinations is linear in the size of the set whatever the classes.
+   The g tokens of a group survive the loss of g - c; the prefix is extended until the
+   sum of max(0, g - c + 1) over singles and groups is the number of tokens that a partner
+   may lack plus k. Each lacking token lowers that sum by one at most, so at least k
+   signatures of two similar sets are equal. Grouping depends on the binary logarithm
+   of the size; a set whose longer partners may be grouped otherwise emits the
+   combinations of that grouping as well.
+4. Signatures are sent, sorted and packed, to the partition of their hash. There each
+   list of sets with one signature lies in order of length, and a set is compared with
+   the stretch from its own length to its length / threshold. Pairs with k equal signatures,
+   whose first common positions allow the threshold, are candidates. What is shared from
+   the j-th common signature on is bounded by its positions, so those too far back to be
+   among the first k are left out before counting.
+   The rare tokens of least hash under two seeds name a set's family, which is one more
+   signature. Sets of one family are compared with each other by it, once, and aren't met
+   again by their many equal ordinary signatures.
 5. Candidates are grouped around the smallest set that they are candidates with, large
    groups split in blocks, so that each set travels once for many pairs; the overlap
-   of the whole sets is counted there.
+   of the whole sets is counted there. Where only connection is asked for, pairs that those
+   before have connected are passed over.
 
-Nothing is capped or sampled.
+Nothing is capped or sampled, and no step changes its way with the size of the input but for
+joins of facts about sets, which are broadcast up to BROADCAST_IDS rows and shuffled beyond.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import BROADCAST_IDS, discard, materialise, pick
+from . import _store
+from ._store import discard, materialise, pick
 from ._vec import lean, mix, slices
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 15
+#: Places of the tables: two for tokens, one for words.
+TABLES = 3
+#: Signatures that a task sorts and packs at a time, and those that a partition gets on average.
+FLUSH, PER_PARTITION = 1 << 20, 3 << 20
+#: Pairs compared at a time in a partition.
+EXPAND = 1 << 21
 
-#: texts without nulls -> for each text, its tokens as uint64, repeats allowed, and the hashes of two words of each
-SetMaker = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: texts without nulls -> tokens as uint64, repeats allowed, the hashes of two words of each, and where each text's begin
+SetMaker = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
 class Join:
-    """What to join: how sets are made, the threshold, the document frequencies beyond which tokens go in pairs and triples, whether to partition by length, and how many signatures must be common (k)."""
+    """What to join: how sets are made, the threshold, how many sets a signature may be expected in, and how many signatures must be common (k)."""
 
     sets: SetMaker
     threshold: float
-    pairs_from: int = 1000
-    triples_from: int = 20000
-    by_length: bool = False
+    posting: int = 1000
     common: int = 8
 
 
-def set_id(s: np.ndarray) -> int:
-    """63-bit digest of a sorted set."""
-    h = mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) + np.uint64(len(s))
-    return int(mix(np.array([h], np.uint64))[0] >> np.uint64(1))
+@dataclass
+class Sets:
+    """Distinct tokens of the sets of one slice, set by set, ascending in each: ids, digests, where each begins; the words of each token."""
 
+    doc_id: pa.Array
+    digest: np.ndarray
+    at: np.ndarray
+    token: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
-def _sets(batches, maker: SetMaker) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """[(doc_id, sorted distinct set, first and second word of each token)] of slices of (doc_id, text) batches, without null ids and empty sets."""
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.at)
+
+
+def _segments(token: np.ndarray, doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Order by (doc, keys, token); doc and keys are small numbers, for which a stable sort is a radix sort."""
+    order = np.argsort(token)
+    for key in (*keys, doc):
+        for shift in range(0, max(1, int(key.max(initial=0)).bit_length()), 16):
+            order = order[np.argsort((key[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
+
+
+def _sets(batches, maker: SetMaker) -> Iterator[Sets]:
+    """The sets of slices of (doc_id, text) batches, without null ids and empty sets."""
     for b in batches:
         for row, texts in slices(b.column(1)):
-            ids = b.column(0).slice(row, len(texts)).to_pylist()
-            out = []
-            for i, (s, u, v) in zip(ids, maker(texts)):
-                if i is not None and len(s):
-                    s, first = np.unique(s, return_index=True)
-                    out.append((i, s, u[first], v[first]))
-            if out:
-                yield out
+            token, first, last, at = maker(texts)
+            n = np.diff(at)
+            good = np.asarray(b.column(0).slice(row, len(texts)).is_valid()) & (n > 0)
+            doc = np.repeat(np.arange(len(texts)), n)
+            order = _segments(token, doc)
+            order = order[good[doc[order]]]
+            s, d = token[order], doc[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            order, s, d = order[new], s[new], d[new]
+            rows = np.flatnonzero(good)
+            if not len(rows):
+                continue
+            cuts = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
+            h = np.add.reduceat(mix(s + np.uint64(0x632BE59BD9B4E019)), cuts[:-1]) + np.diff(cuts).astype(np.uint64)
+            yield Sets(b.column(0).slice(row, len(texts)).take(pa.array(rows)), (mix(h) >> np.uint64(1)).astype(np.int64), cuts, s, first[order], last[order])
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -85,205 +126,389 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def second(h: np.ndarray) -> np.ndarray:
+    """Its place in the other table of tokens."""
+    return (h >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers as one compressed string, byte by byte in planes."""
+    head, body = [len(columns)], []
+    for c in columns:
+        c = np.ascontiguousarray(c, np.uint64)
+        width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
+        head += [len(c), width]
+        body.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The columns of pack."""
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    head, at, out = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2), 8 + 16 * n, []
+    for rows, width in head.tolist():
+        c = np.zeros((rows, 8), np.uint8)
+        c[:, :width] = raw[at : at + rows * width].reshape(width, rows).T
+        out.append(c.view(np.uint64)[:, 0])
+        at += rows * width
+    return out
+
+
 def profile(docs: DataFrame, job: Join) -> DataFrame:
-    """One pass: rows (doc_id, set_id, n) of documents, and rows (chunk, counts) of the token table."""
+    """One pass: rows (doc_id, set_id, n) of documents, and rows (chunk, counts) of the tables; chunk -1 has the number of sets."""
 
     def run(batches):
-        table = np.zeros(2 * BUCKETS, np.uint32)  # tokens, then words
+        table = np.zeros(TABLES * BUCKETS, np.int64)
         seen: set[int] = set()  # sets, not documents, are counted
-        for found in _sets(batches, job.sets):
-            n, names = len(found), [set_id(s) for _, s, _, _ in found]
-            new = {i: x for i, x in zip(names, found) if i not in seen}
-            if new:
-                seen.update(new)
-                np.add.at(table, np.concatenate([bucket(s) for _, s, _, _ in new.values()]), 1)
-                np.add.at(table, np.concatenate([BUCKETS + np.unique(bucket(np.concatenate([u, v]))) for _, _, u, v in new.values()]), 1)
-            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array(names, pa.int64()), "n": pa.array([len(s) for _, s, _, _ in found], pa.int32()), "chunk": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
-        for k in range(2 * BUCKETS // CHUNK):
+        for x in _sets(batches, job.sets):
+            names, n = x.digest.tolist(), x.size
+            new = np.array([i not in seen and not seen.add(i) for i in names])
+            of = np.repeat(np.arange(len(n)), n)
+            mine = new[of]
+            word = np.concatenate([x.first[mine], x.last[mine]])
+            owner = np.concatenate([of[mine], of[mine]])
+            both = np.unique(owner.astype(np.uint64) << np.uint64(20) | bucket(word).astype(np.uint64))  # a slice has fewer than 2**44 texts
+            for k, place in enumerate((bucket(x.token[mine]), second(x.token[mine]), (both & np.uint64(BUCKETS - 1)).astype(np.int64))):
+                table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(place, minlength=BUCKETS)
+            m = len(n)
+            yield pa.record_batch({"doc_id": x.doc_id, "set_id": pa.array(x.digest), "n": pa.array(n, pa.int32()), "chunk": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
+        for k in range(TABLES * BUCKETS // CHUNK):
             part = table[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
-                yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "set_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "chunk": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+                yield _counts(k, part)
+        if seen:
+            yield _counts(-1, np.array([len(seen)]))
 
     return materialise(pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id long, n int, chunk int, counts binary"), "sets")
 
 
-def token_counts(prof: DataFrame) -> np.ndarray:
-    """The tables added up over all tasks: 2 * BUCKETS counts, however large the input."""
+def _counts(k: int, part: np.ndarray) -> pa.RecordBatch:
+    null = pa.nulls(1, pa.int64())
+    return pa.record_batch({"doc_id": null, "set_id": null, "n": pa.nulls(1, pa.int32()), "chunk": pa.array([k], pa.int32()), "counts": pa.array([pack(part)], pa.binary())})
+
+
+def token_counts(prof: DataFrame) -> tuple[np.ndarray, int]:
+    """(the tables added up over all tasks, as many counts however large the input; number of sets)."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32)
+                total[k] = total.get(k, 0) + unpack(x)[0]
         if total:
-            yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([pack(x) for x in total.values()], pa.binary())})
 
     rows = prof.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(add), "chunk int, counts binary").collect()
-    table = np.zeros(2 * BUCKETS, np.uint32)
+    table, n = np.zeros(TABLES * BUCKETS, np.int64), 0
     for r in rows:
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint32)
-    return table
+        (part,) = unpack(r.counts)
+        if r.chunk < 0:
+            n = int(part[0])
+        else:
+            table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = part
+    return table, n
 
 
-def frequencies(table: np.ndarray, job: Join) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each token bucket, logarithm of the count of each word bucket).
+def frequencies(table: np.ndarray, n: int, posting: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each place of tokens in the first table and in the second; logarithm of the count of each place of words, in steps).
 
-    What other tokens put into a bucket is about the mean; the bounds of the classes stay clear of its scatter.
+    What other tokens put into a place is about the mean; the bounds of the classes stay clear of its scatter.
     """
-    tokens, words = table[:BUCKETS].astype(np.int64), table[BUCKETS:].astype(np.int64)
-    est = tokens - int(tokens.mean())
-    noise = int(6 * tokens.mean() ** 0.5)
-    classes = 1 + (est > job.pairs_from + noise).astype(np.int8) + (est > job.triples_from + noise).astype(np.int8)
-    return classes, np.log(np.maximum(words - int(words.mean()), 1)).astype(np.float32)
-
-
-def lacking(n: int, share: float) -> int:
+    classes = []
+    for k in range(2):
+        tokens = table[k * BUCKETS : (k + 1) * BUCKETS].astype(np.int64)
+        mean = tokens.mean()
+        est, noise = tokens - int(mean), int(6 * mean**0.5)
+        share = min(1.0, posting / max(n, 1))
+        classes.append(1 + (est > n * share + noise).astype(np.int8) + (est > n * share**0.5 + noise).astype(np.int8))
+    words = table[2 * BUCKETS :].astype(np.int64)
+    return classes[0], classes[1], np.log(np.maximum(words - int(words.mean()), 1)).astype(np.float32)
+
+
+def lacking(n: np.ndarray, share: float) -> np.ndarray:
     """Of n tokens, how many a partner may lack if it must hold at least share * n of them."""
-    return n - int(np.ceil(share * n - 1e-9))
-
-
-def prefix(n: int, classes: np.ndarray, lack: int) -> int:
-    """Length of the shortest prefix in which combinations survive the loss of lack tokens; n if there is none."""
-    c1 = int((classes == 1).sum())  # classes ascend
-    if c1 > lack:
-        return lack + 1
-    c2 = int((classes == 2).sum())
-    if c1 + max(0, c2 - 1) > lack:
-        return lack + 2
-    return min(n, c1 + c2 + (lack - c1 - max(0, c2 - 1)) + 3)
-
-
-def ordered(s: np.ndarray, u: np.ndarray, v: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set from rare tokens to frequent ones, with their classes; the order is one for all sets."""
-    c = classes[bucket(s)]
-    order = np.lexsort((s, words[bucket(u)] + words[bucket(v)], c))
-    return s[order], c[order]
-
-
-def signatures(s: np.ndarray, classes: np.ndarray, t: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(signature, position, in the shorter side's prefix) of an ordered set, and how many of them a partner must have."""
-    n = len(s)
-    tiny = n <= int(int(3 / t) / t) + 1  # so small that combinations may run out: single tokens too
+    return n - np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def tiny(t: float) -> tuple[int, int]:
+    """(sets up to this size may have too few combinations; partners of those are up to this size): they emit single tokens of any class."""
+    low = 1
+    while np.ceil(t * low - 1e-9) < 4:  # one group of class 2 and one of class 3 cost up to 3 tokens
+        low += 1
+    return low - 1, int((low - 1) / t + 1e-9)
+
+
+def _room(level: int, t: float) -> int:
+    """Tokens that groups may cost a set of 2**level tokens, or its shorter partner, so that enough combinations remain."""
+    return int(min(t, 2 * t * t / (1 + t)) * 2**level + 1e-9) - 1
+
+
+def n_groups(level: int, t: float) -> tuple[int, int]:
+    """Groups of class 2 and of class 3. A group of class c may cost c - 1 tokens: together within the room."""
+    room = max(3, _room(level, t))
+    return max(1, room // 2), max(1, (room - max(1, room // 2)) // 2)
+
+
+#: Seeds of single tokens of small sets and of the tokens that name a family.
+_PLAIN, _FAMILY = np.uint64(0x5851F42D4C957F2D), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_NONE = np.uint64(2**64 - 1)
+
+
+@dataclass
+class Signatures:
+    """Signatures of the sets of one slice: which set, signature, position and kind (bit 0: of the shorter side's prefix; bit 1: of the family); of each set k and its family, 0 for none."""
+
+    owner: np.ndarray
+    sig: np.ndarray
+    pos: np.ndarray
+    kind: np.ndarray
+    k: np.ndarray
+    family: np.ndarray
+
+
+def _level(n: float) -> int:
+    """Binary logarithm of a size, which groups depend on."""
+    return max(0, int(n).bit_length() - 1)
+
+
+def combinations(s: np.ndarray, classes: np.ndarray, begin: int, level: int, t: float, need: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, position, is it of the prefix that needs `need`) of combinations of the ordered tokens from begin on, in the prefix in which `upto` of them and singles survive."""
+    rest, cls = s[begin:], classes[begin:]
+    m2, m3 = n_groups(level, t)
+    h = mix(rest ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64))
+    group = np.where(cls == 2, h % np.uint64(m2), np.uint64(m2) + h % np.uint64(m3)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    begins = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    turn = np.arange(len(g)) - np.repeat(begins, np.diff(np.append(begins, len(g))))
+    survive = np.zeros(len(g), np.int64)
+    survive[order] = turn >= cls[order] - 1
+    total = begin + np.cumsum(survive)
+    ends = [int(np.searchsorted(total, x)) + 1 if begin < x else 0 for x in (need, upto)]
+    order = order[order < ends[1]]
+    g, c = group[order], cls[order]
+    salt = np.uint64(level + 1)
+    out = []
+    most = int(np.unique(g, return_counts=True)[1].max(initial=0))
+    for a in range(1, most):
+        same = np.flatnonzero(g[:-a] == g[a:])
+        two = same[c[same] == 2]
+        x, y = order[two], order[two + a]
+        out.append((mix(mix(rest[x] * np.uint64(0xC2B2AE3D27D4EB4F) + rest[y]) + salt), y, m2))
+        for b in range(a + 1, most):
+            three = np.flatnonzero((g[:-b] == g[b:]) & (c[:-b] == 3)) if len(g) > b else np.zeros(0, np.int64)
+            x, y, z = order[three], order[three + a], order[three + b]
+            out.append((mix(mix(mix(rest[x] * np.uint64(0xC2B2AE3D27D4EB4F) + rest[y]) * np.uint64(0xC2B2AE3D27D4EB4F) + rest[z]) + salt), z, m2 + 2 * m3))
+    if not out:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
+    last = np.concatenate([y for _, y, _ in out])
+    # Before a combination, one token of each group of class 2 and two of each of class 3 may be shared unseen.
+    unseen = np.concatenate([np.full(len(y), u) for _, y, u in out])
+    return np.concatenate([x for x, _, _ in out]), np.maximum(begin + last - unseen, 0), last < ends[0]
+
+
+def signatures(x: Sets, classes: np.ndarray, weight: np.ndarray, t: float, common: int) -> Signatures:
+    """Signatures of the sets, given the class of each token and its weight in the order of a class (0 to 2**14 - 1)."""
+    n, at = x.size, x.at
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(((classes.astype(np.int64) - 1) << 14 | weight).astype(np.uint16), kind="stable")
+    for shift in range(0, max(1, len(n).bit_length()), 16):
+        order = order[np.argsort((of[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    s, c = x.token[order], classes[order]
+    rank = np.arange(len(s)) - at[of]
+    c1 = np.add.reduceat(c == 1, at[:-1], dtype=np.int64)
+    long, short = lacking(n, t), lacking(n, 2 * t / (1 + t))
+    low, high = tiny(t)
     # The prefix is extended for k only as far as rare tokens reach.
-    k = 1 if tiny else max(1, min(k, int((classes == 1).sum()) - lacking(n, t)))
-    long = prefix(n, classes, lacking(n, t) + k - 1)
-    short = prefix(n, classes, lacking(n, 2 * t / (1 + t)) + k - 1)
-    c1, c2 = int((classes[:long] == 1).sum()), int((classes[:long] <= 2).sum())
-    sig, pos, ends = [s[:c1]], [np.arange(c1)], [np.arange(c1)]
-    for lo, hi, c in ((c1, c2, 2), (c2, long, 3)):
-        if hi - lo >= c:
-            at = np.array(list(combinations(range(lo, hi), c)), np.int64)
-            h = s[at[:, 0]]
-            for j in range(1, c):
-                h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + s[at[:, j]])
-            # Of classes before this one, one token may be shared unseen: the bound on overlap allows for it.
-            sig, pos, ends = sig + [h], pos + [np.maximum(at[:, 0] - (c == 3), 0)], ends + [at[:, -1]]
-    if tiny:
-        plain = lacking(n, t) + 1
-        sig, pos, ends = sig + [mix(s[:plain] ^ np.uint64(0x5851F42D4C957F2D))], pos + [np.arange(plain)], ends + [np.zeros(plain, np.int64)]
-    return np.concatenate(sig), np.concatenate(pos), np.concatenate(ends) < short, k
-
-
-#: Factors of 1 / threshold that a length partition spans.
-SPAN = 4
-
-
-def length_part(n: float, t: float) -> int:
-    """Number of the length partition: sets of similar size lie in one partition or two neighbouring ones."""
-    return int(np.floor(np.log(n) / -np.log(t) / SPAN + 1e-9))
-
-
-#: Of the signatures, one in so many shows the families (of small sets, more, or all); so many of these must two sets share to be acquainted.
-SAMPLE, ACQUAINTED = 16, 3
-
-
-def sampled(sig: np.ndarray, n: int) -> np.ndarray:
-    """Which signatures of a set of n tokens are in the sample; those of a larger set are among those of a smaller."""
-    return mix(sig) % np.uint64(SAMPLE) < np.uint64(SAMPLE if n <= 64 else SAMPLE // 4 if n <= 256 else 1)
-
-
-def _emit(docs: DataFrame, job: Join, table: np.ndarray, families: tuple[np.ndarray, np.ndarray] | None = None, sample: bool = False) -> DataFrame:
-    """Rows (sig, set_id, meta, family); family 0 is none.
-
-    meta packs the size of the set, the position, k and the role: 1 may be the shorter set of a pair, 2 the longer, 3 either.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((*frequencies(table, job), *(families or (np.zeros(0, np.int64),) * 2)))
-    t = job.threshold
+    k = np.where(n <= high, 1, np.clip(c1 - long, 1, common))
+    ends = np.where(n <= low, 0, np.minimum(c1, long + k))
+    one = np.flatnonzero(rank < ends[of])
+    owner, sig, pos, kind = [of[one]], [s[one]], [rank[one]], [(rank[one] < (short + k)[of[one]]).astype(np.int64)]
+    for i in np.flatnonzero((n > low) & (c1 < long + k)).tolist():
+        own, begin = slice(at[i], at[i + 1]), int(c1[i])
+        levels = range(_level(n[i]), _level(n[i] / t + 1e-9) + 1)
+        for level in levels:  # longer partners may be grouped by a higher level
+            need = int(short[i] + k[i])
+            h, p, is_short = combinations(s[own], c[own], begin, level, t, need, int(long[i] + k[i]) if level == levels[0] else need)
+            owner, sig, pos, kind = owner + [np.full(len(h), i)], sig + [h], pos + [p], kind + [is_short.astype(np.int64)]
+    small = np.flatnonzero((n <= high)[of] & (rank <= long[of]))
+    owner, sig, pos, kind = owner + [of[small]], sig + [mix(s[small] ^ _PLAIN)], pos + [rank[small]], kind + [(rank[small] <= short[of[small]]).astype(np.int64)]
+    family = np.zeros(len(n), np.uint64)
+    for seed in _FAMILY:
+        h = mix(s ^ seed)
+        h[c != 1] = _NONE
+        family = mix(family + np.minimum.reduceat(h, at[:-1]))
+    family = np.where(c1 > 0, family | np.uint64(1 << 16), np.uint64(0))
+    some = np.flatnonzero(c1)
+    owner, sig, pos, kind = owner + [some], sig + [family[some]], pos + [np.zeros(len(some), np.int64)], kind + [np.full(len(some), 3)]
+    return Signatures(np.concatenate(owner), np.concatenate(sig), np.concatenate(pos), np.concatenate(kind), k, family)
+
+
+def _emit(docs: DataFrame, job: Join, table: np.ndarray, n_sets: int, parts: int) -> DataFrame:
+    """Rows (p, packed) of signatures by partition: of each, 48 bits, set, position and kind; of each set its id, size, k and family."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(table, n_sets, job.posting))
+
+    def flush(held: list[tuple[np.ndarray, ...]]):
+        sig, owner, meta, *facts = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.argsort(sig)
+        sig, owner, meta = sig[order], owner[order], meta[order]
+        cuts = np.searchsorted((sig >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[p], cuts[p + 1])
+            used, local = np.unique(owner[own], return_inverse=True)
+            yield p, pack(np.diff(sig[own], prepend=np.uint64(0)), local, meta[own], *(f[used] for f in facts))
 
     def run(batches):
-        (classes, words, known, family), seen = shared.value, set()
-        for found in _sets(batches, job.sets):
-            out: list[list[np.ndarray]] = []
-            for _, s, u, v in found:
-                i, n = set_id(s), len(s)
-                if i in seen:
-                    continue
-                seen.add(i)
-                sig, pos, short, k = signatures(*ordered(s, u, v, classes, words), t, job.common)
-                role = np.where(short, 3, 2)
-                if job.by_length:
-                    p = length_part(n, t)
-                    home = mix(sig + np.uint64(2 * p + 1))
-                    if length_part(n / t + 1, t) > p:  # its longer partners may lie in the next partition
-                        sig, pos, role = np.concatenate([home, mix(sig[short] + np.uint64(2 * p + 3))]), np.append(pos, pos[short]), np.append(role, np.ones(int(short.sum()), np.int64))
-                    else:
-                        sig = home
-                if sample:
-                    some = sampled(sig, n)
-                    sig, pos, role = sig[some], pos[some], role[some]
-                at = int(np.searchsorted(known, i))
-                mine = int(family[at]) if at < len(known) and known[at] == i else 0
-                meta = np.int64(n << 32) | np.minimum(pos, (1 << 24) - 1) << 8 | k << 2 | role
-                out.append([sig.view(np.int64), np.full(len(sig), i, np.int64), meta, np.full(len(sig), mine, np.int32)])
-            if out:
-                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("sig", "set_id", "meta", "family"), zip(*out))})
-
-    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "sig long, set_id long, meta long, family int")
-
-
-def _met(sigs: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b, na, nb), a the shorter set, not of one family, that share signatures, with c, how many, k, how many they must, and most, a bound on their overlap."""
-    one = sigs.repartition("sig").dropDuplicates(["sig", "set_id"])
-    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1))
-    a, b = one.selectExpr("sig", "set_id a", "meta ma", "family fa"), one.selectExpr("sig", "set_id b", "meta mb", "family fb")
-    ma, mb = F.col("ma"), F.col("mb")
-    na, nb = bits(ma, 32, 31), bits(mb, 32, 31)
-    # Both roles in one expression: split, each side would be filtered before its exchange, and the exchange not shared.
-    roles = (ma.bitwiseAND(F.lit(1)) * mb.bitwiseAND(F.lit(2))) == 2
-    fits = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
-    fits &= (na >= F.lit(t) * nb - 1e-9) & ((F.col("fa") != F.col("fb")) | (F.col("fa") == 0))
-    k, most = F.least(bits(ma, 2, 6), bits(mb, 2, 6)), F.least(na - bits(ma, 8, 24), nb - bits(mb, 8, 24))
-    fits &= most >= F.lit(t / (1 + t)) * (na + nb) - 1e-9 - (k - 1)
-    met = a.join(b.hint("merge"), "sig").filter(roles & fits)
-    met = met.select("a", "b", na.cast("int").alias("na"), nb.cast("int").alias("nb"), k.cast("int").alias("k"), most.cast("int").alias("most"))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.max("most").alias("most"))
-
-
-def _families(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
-    """(set_id, n, family) of sets that share their smallest acquaintance with others."""
-    known = _met(_emit(docs, job, table, sample=True), job.threshold).filter(F.col("c") >= ACQUAINTED)
-    known = materialise(known.select("a", "b", "na", "nb"), "known")
-    ends = known.selectExpr("a set_id", "na n", "least(a, b) m").unionByName(known.selectExpr("b set_id", "nb n", "least(a, b) m"))
-    found = ends.groupBy("set_id", "n").agg(F.min("m").alias("family"))
-    several = found.groupBy("family").count().filter("count > 1").select("family")
-    return materialise(found.join(several, "family", "left_semi"), "families")
-
-
-def _candidates(docs: DataFrame, job: Join, table: np.ndarray) -> DataFrame:
-    """Distinct (a, b, na, nb), a the shorter set, that may reach the threshold."""
-    t = job.threshold
-    families = _families(docs, job, table)
-    held = None
-    if families.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # beyond, families aren't known where signatures are made, and their pairs are met as all others
-        rows = families.select("set_id", "family").toArrow().sort_by("set_id")
-        held = rows["set_id"].to_numpy(), 1 + np.unique(rows["family"].to_numpy(), return_inverse=True)[1]
-    found = _met(_emit(docs, job, table, held), t)
-    apart = found.filter((F.col("c") >= F.col("k")) & (F.col("most") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b", "na", "nb")
-    x, y = families.selectExpr("family", "set_id a", "n na"), families.selectExpr("family", "set_id b", "n nb")
-    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    within = x.join(y, "family").filter(shorter & (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9)).select("a", "b", "na", "nb")
-    both = apart.unionByName(within)
-    return both if held else both.distinct()
+        (one, two, words), seen, held, n, sets = shared.value, set(), [], 0, 0
+
+        def out():
+            rows = list(flush(held))
+            return pa.record_batch({"p": pa.array([p for p, _ in rows], pa.int32()), "packed": pa.array([x for _, x in rows], pa.binary())})
+
+        for x in _sets(batches, job.sets):
+            new = np.array([i not in seen and not seen.add(i) for i in x.digest.tolist()])
+            classes = np.minimum(one[bucket(x.token)], two[second(x.token)])
+            weight = np.minimum(256 * (words[bucket(x.first)] + words[bucket(x.last)]), (1 << 14) - 1).astype(np.int64)
+            g = signatures(x, classes, weight, job.threshold, job.common)
+            own = new[g.owner]
+            place = (sets + np.cumsum(new) - 1)[g.owner[own]].astype(np.uint32)
+            held.append((g.sig[own] >> np.uint64(16), place, (g.pos << 2 | g.kind)[own].astype(np.uint32), x.digest[new], x.size[new], g.k[new], g.family[new] >> np.uint64(16)))
+            n, sets = n + int(own.sum()), sets + int(new.sum())
+            if n >= FLUSH:
+                yield out()
+                n = sets = 0
+        if n:
+            yield out()
+
+    return pick(docs, "doc_id", "text").mapInArrow(lean(run), "p int, packed binary")
+
+
+def met(blobs: list[bytes], t: float) -> dict[str, np.ndarray]:
+    """Pairs of sets of one partition, a the shorter: how many signatures they share here (c), how many they must (k), and a bound on their overlap (most).
+
+    Rows with a negative c are members of families: a is the key under which set b is to be compared, -c - 1 its side there.
+    """
+    cols = [unpack(x) for x in blobs]
+    sizes = np.cumsum([0] + [len(c[3]) for c in cols])
+    sig = np.concatenate([np.cumsum(c[0]) for c in cols])
+    who = np.concatenate([(c[1] + np.uint64(s)).astype(np.uint32) for c, s in zip(cols, sizes)])
+    meta = np.concatenate([c[2].astype(np.uint32) for c in cols])
+    ids, n, k, family = (np.concatenate([c[j] for c in cols]).astype(np.int64) for j in range(3, 7))
+    del cols
+    # Sets in the order of their length, each once, wherever it was met.
+    order = np.lexsort((ids, n))
+    fresh = np.append(True, ids[order][1:] != ids[order][:-1])
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    order = order[fresh]
+    ids, n, k, family = ids[order], n[order], k[order], family[order]
+    who = place[who]
+    # Signatures of one set alone are of no use.
+    order = np.argsort(sig)
+    x = sig[order]
+    twice = np.zeros(len(x) + 1, bool)
+    twice[1:-1] = x[1:] == x[:-1]
+    order = order[twice[1:] | twice[:-1]]
+    order = order[np.lexsort((who[order], sig[order]))]
+    sig, who, meta = sig[order], who[order], meta[order].astype(np.int64)
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+    sig, who, meta = sig[fresh], who[fresh], meta[fresh]
+    # Each list lies in order of length: a set meets those after it up to its length / t.
+    run = np.cumsum(np.append(True, sig[1:] != sig[:-1])[: len(sig)]) << 32
+    upto = np.searchsorted(run | n[who], run | np.floor((n[who] + 1e-9) / t).astype(np.int64), side="right")
+    kind, pos = meta >> 1 & 1, meta >> 2
+    count = np.where((meta & 1 == 1) & (kind == 0), upto - np.arange(len(who)) - 1, 0)
+    members = _members(sig, np.flatnonzero(kind), who, upto, n, t)
+    del sig, run
+    total = np.cumsum(count)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    row = 0
+    while row < len(count):
+        stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + EXPAND, side="right")))
+        c = count[row:stop]
+        if (m := int(c.sum())) > 0:
+            a = np.repeat(np.arange(row, stop), c)
+            b = a + 1 + np.arange(m) - np.repeat(np.cumsum(c) - c, c)
+            ok = kind[a] == kind[b]
+            a, b = a[ok], b[ok]
+            wa, wb = who[a], who[b]
+            most = np.minimum(n[wa] - pos[a], n[wb] - pos[b])
+            ok = ((family[wa] != family[wb]) | (family[wa] == 0)) & (most >= t / (1 + t) * (n[wa] + n[wb]) - 1e-9 - (np.minimum(k[wa], k[wb]) - 1))
+            found.append(_tally((wa << 32 | wb)[ok], np.ones(int(ok.sum()), np.int64), most[ok]))
+            if sum(len(x[0]) for x in found[1:]) > 2 * EXPAND:
+                found = [_tally(*map(np.concatenate, zip(*found)))]
+        row = stop
+    key, c, most = _tally(*map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+    wa, wb = key >> 32, key & 0xFFFFFFFF
+    out = {"a": ids[wa], "b": ids[wb], "na": n[wa], "nb": n[wb], "k": np.minimum(k[wa], k[wb]), "c": c, "most": most}
+    key, w, side = members
+    none = np.zeros(len(w), np.int64)
+    more = {"a": key, "b": ids[w], "na": none, "nb": none, "k": none, "c": -1 - side, "most": none}
+    return {x: np.concatenate([out[x], more[x]]) for x in out}
+
+
+#: Sides of a family's key: the first of two blocks, the second, or the only one.
+FIRST, SECOND, ONLY = 0, 1, 2
+
+
+def _members(sig: np.ndarray, at: np.ndarray, who: np.ndarray, upto: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, set, side) of the sets of families with a partner of fitting length; at: their rows. Families go in blocks of BLOCK sets, and each two blocks with fitting lengths have a key."""
+    keys, sets, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    partner = upto[at] > at + 1
+    partner[1:] |= (sig[at[1:]] == sig[at[:-1]]) & (upto[at[:-1]] > at[1:])
+    at = at[partner]
+    heads = np.flatnonzero(np.append(True, sig[at][1:] != sig[at][:-1])) if len(at) else at
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)]):
+        own = who[at[a:b]]
+        blocks = [own[i : i + BLOCK] for i in range(0, b - a, BLOCK)]
+        for i, x in enumerate(blocks):
+            for j in range(i, len(blocks)):
+                y = blocks[j]
+                if j > i and n[y[0]] > (n[x[-1]] + 1e-9) / t:
+                    break
+                key = int(mix(mix(sig[at[a : a + 1]]) + np.uint64(i << 32 | j))[0].view(np.int64))
+                both = x if i == j else np.concatenate([x, y])
+                keys.append(np.full(len(both), key))
+                sets.append(both)
+                sides.append(np.full(len(x), ONLY) if i == j else np.repeat([FIRST, SECOND], [len(x), len(y)]))
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(sides)
+
+
+def _tally(key: np.ndarray, c: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the sum of c and the greatest of most."""
+    if not len(key):
+        return key, c, most
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[heads], np.add.reduceat(c[order], heads), np.maximum.reduceat(most[order], heads)
+
+
+_MET = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "k": pa.int32(), "c": pa.int32(), "most": pa.int32()}
+
+
+def _meet(docs: DataFrame, job: Join, prof: DataFrame) -> DataFrame:
+    """What ``met`` finds in all partitions."""
+    table, n_sets = token_counts(prof)
+    size = prof.agg(F.sum("n"), F.count("n")).first()
+    parts = 1 + int(((1 - job.threshold) * (size[0] or 0) + job.common * size[1]) // PER_PARTITION)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        out = met(rows.column("packed").to_pylist(), job.threshold)
+        return pa.table({c: pa.array(out[c]).cast(kind) for c, kind in _MET.items()})
+
+    sent = _emit(docs, job, table, n_sets, parts)
+    return materialise(sent.groupBy("p").applyInArrow(solve, "a long, b long, na int, nb int, k int, c int, most int"), "met")
+
+
+def _candidates(found: DataFrame, t: float) -> DataFrame:
+    """Distinct (a, b), a the shorter set, of no common family, that may reach the threshold."""
+    pairs = found.filter("c > 0").groupBy("a", "b", "na", "nb", "k").agg(F.sum("c").alias("c"), F.max("most").alias("most"))
+    return pairs.filter((F.col("c") >= F.col("k")) & (F.col("most") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
 
 
 #: Sets in one block of a group of candidates.
@@ -295,47 +520,118 @@ def _blocked(cand: DataFrame) -> DataFrame:
     ends = cand.select(F.col("a").alias("v"), F.least("a", "b").alias("m")).unionByName(cand.select(F.col("b").alias("v"), F.least("a", "b").alias("m")))
     hub = materialise(ends.groupBy("v").agg(F.min("m").alias("hub")), "hubs")
     # Pairs are many more than sets: up to the bound, what is known of sets comes to the pairs, not the other way round.
-    wrap = F.broadcast if hub.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda x: x
+    wrap = F.broadcast if hub.limit(_store.BROADCAST_IDS + 1).count() <= _store.BROADCAST_IDS else lambda x: x
     keyed = cand.join(wrap(hub.withColumnRenamed("v", "a")), "a")
     size = wrap(keyed.select("hub", F.explode(F.array("a", "b")).alias("v")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    return keyed.join(size, "hub").select("a", "b", "na", "nb", F.xxhash64("hub", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("key"))
+    return keyed.join(size, "hub").select("a", "b", F.xxhash64("hub", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("key"))
+
+
+def _filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Bits of a Bloom filter of one hash over doc_id: about 16 for each of n ids, 2**30 (128 MB) at most. It spares work, and decides nothing."""
+    bits = min(30, max(16, (16 * n).bit_length()))
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = _place(np.asarray(b.column(0)), bits)
+            for c in np.unique(at >> 20).tolist():
+                held.setdefault(c, np.zeros(1 << min(20, bits), bool))[at[at >> 20 == c] & 0xFFFFF] = True
+        if held:
+            yield pa.record_batch({"chunk": pa.array(list(held), pa.int32()), "bits": pa.array([pack(np.packbits(x)) for x in held.values()], pa.binary())})
+
+    rows = ids.select("doc_id").mapInArrow(lean(run), "chunk int, bits binary")
+
+    def unite(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[c] = held.get(c, 0) | unpack(x)[0]
+        if held:
+            yield pa.record_batch({"chunk": pa.array(list(held), pa.int32()), "bits": pa.array([pack(x) for x in held.values()], pa.binary())})
+
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in rows.repartition("chunk").mapInArrow(lean(unite), "chunk int, bits binary").collect():
+        part = unpack(r.bits)[0].astype(np.uint8)
+        out[r.chunk << 17 : (r.chunk << 17) + len(part)] = part
+    return out
+
 
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of each id in the filter."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _verify(docs: DataFrame, job: Join, cand: DataFrame, prof: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of the candidates at or above the threshold."""
+
+def _verify(docs: DataFrame, job: Join, found: DataFrame, cand: DataFrame, prof: DataFrame, spanning: bool) -> DataFrame:
+    """(a, b, jaccard) of the candidates, and of the pairs within families, at or above the threshold; with spanning, as many of them as connect what all connect."""
     cand = materialise(_blocked(cand), "blocks")
-    needed = cand.select("key", F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    needed = cand.select("key", F.explode(F.array("a", "b")).alias("set_id"), F.lit(-1).alias("side")).distinct()
+    needed = needed.unionByName(found.filter("c < 0").select(F.col("a").alias("key"), F.col("b").alias("set_id"), (-1 - F.col("c")).alias("side")))
     first = prof.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     needed = materialise(needed.join(first, "set_id"), "needed")
-    few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = np.unique(needed.select("doc_id").distinct().toArrow()["doc_id"].to_numpy()) if few else None
-    wanted = docs.sparkSession.sparkContext.broadcast(held) if few else None
+    n = needed.count()
+    wrap = F.broadcast if n <= _store.BROADCAST_IDS else lambda x: x
+    bloom = _filter(needed, n)
+    bits = len(bloom).bit_length() + 2
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches):
         def chosen():
             for b in batches:
-                if wanted is not None:
-                    b = b.filter(pa.array(np.isin(np.asarray(b.column(0).fill_null(-1)), wanted.value) & np.asarray(b.column(0).is_valid())))
+                at = _place(np.asarray(b.column(0).fill_null(0)), bits)
+                b = b.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
                 if b.num_rows:
                     yield b
 
-        for found in _sets(chosen(), job.sets):
-            yield pa.record_batch({"doc_id": pa.array([i for i, _, _, _ in found], pa.int64()), "set_id": pa.array([set_id(s) for _, s, _, _ in found], pa.int64()), "tokens": pa.array([s.tobytes() for _, s, _, _ in found], pa.binary())})
+        for x in _sets(chosen(), job.sets):
+            tokens = pa.Array.from_buffers(pa.binary(), len(x.digest), [None, pa.py_buffer((8 * x.at).astype(np.int32)), pa.py_buffer(x.token)])
+            yield pa.record_batch({"doc_id": x.doc_id, "set_id": pa.array(x.digest), "tokens": tokens})
 
     whole = pick(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id long, tokens binary")
-    whole = whole.join(F.broadcast(needed) if few else needed, ["doc_id", "set_id"]).select("key", "set_id", "tokens")
+    whole = whole.join(wrap(needed), ["doc_id", "set_id"]).select("key", "set_id", "side", "tokens")
     least = job.threshold - 1e-12
 
     def overlap(key, pairs, sets):
         held = {i: np.frombuffer(x, np.uint64) for i, x in zip(sets.column("set_id").to_pylist(), sets.column("tokens").to_pylist())}
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = held[a], held[b]  # x is the shorter
-            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            j = shared / (len(x) + len(y) - shared)
+        out, root = [], {}
+
+        def top(i):
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = up
+            return i
+
+        def add(a, b, shared):
+            j = shared / (len(held[a]) + len(held[b]) - shared)
             if j >= least:
                 out.append((a, b, j))
+                root[top(b)] = top(a)
+
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            if not (spanning and top(a) == top(b)):
+                x, y = held[a], held[b]  # x is the shorter
+                add(a, b, int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
+        side = dict(sorted(zip(sets.column("set_id").to_pylist(), sets.column("side").to_pylist()), key=lambda x: x[1]))
+        family = sorted((i for i, d in side.items() if d >= 0), key=lambda i: (len(held[i]), i))
+        if len(family) > 1:
+            sizes = np.array([len(held[i]) for i in family])
+            number = np.unique(np.concatenate([held[i] for i in family]), return_inverse=True)[1]
+            cut = np.append(0, np.cumsum(sizes))
+            kinds = np.array([side[i] for i in family])
+            mark = np.zeros(int(number.max()) + 1, bool)
+            upto = np.searchsorted(sizes, (sizes + 1e-9) / job.threshold, side="right")
+            for x, a in enumerate(family):
+                others = np.arange(x + 1, upto[x])
+                others = others[(kinds[others] != kinds[x]) | (kinds[others] == ONLY)]
+                if spanning:
+                    others = others[[top(family[y]) != top(a) for y in others]] if len(others) else others
+                if len(others):
+                    mark[number[cut[x] : cut[x + 1]]] = True
+                    stretch = slice(cut[others[0]], cut[others[-1] + 1])
+                    shared = np.add.reduceat(mark[number[stretch]].astype(np.int64), cut[others[0] : others[-1] + 1] - cut[others[0]])
+                    mark[number[cut[x] : cut[x + 1]]] = False
+                    for y in others.tolist():
+                        add(a, family[y], int(shared[y - others[0]]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "jaccard": pa.array([x[2] for x in out], pa.float64())})
 
     scored = cand.select("key", "a", "b").groupBy("key").cogroup(whole.groupBy("key")).applyInArrow(overlap, "a long, b long, jaccard double")
@@ -345,22 +641,25 @@ def _verify(docs: DataFrame, job: Join, cand: DataFrame, prof: DataFrame) -> Dat
     return done
 
 
-def similar_sets(docs: DataFrame, job: Join) -> tuple[DataFrame, DataFrame]:
-    """(members, similar): members has (doc_id, set_id) of every document with tokens, similar the pairs (a, b, jaccard) of distinct sets."""
+def similar_sets(docs: DataFrame, job: Join, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, similar): members has (doc_id, set_id) of every document with tokens, similar the pairs (a, b, jaccard) of distinct sets, or enough of them to connect what all connect."""
     prof = profile(docs, job)
-    cand = materialise(_candidates(docs, job, token_counts(prof)), "candidates")
-    similar = _verify(docs, job, cand, prof)
+    found = _meet(docs, job, prof)
+    cand = materialise(_candidates(found, job.threshold), "candidates")
+    similar = _verify(docs, job, found, cand, prof, spanning)
+    discard(found)
     discard(cand)
-    return prof.filter("set_id is not null").select("doc_id", "set_id").distinct(), similar
+    members = materialise(prof.filter("set_id is not null").select("doc_id", "set_id").distinct(), "members")
+    discard(prof)
+    return members, similar
 
 
 def pairs(docs: DataFrame, job: Join) -> DataFrame:
     """All pairs (doc_a, doc_b, jaccard) of documents, doc_a < doc_b, at or above the threshold."""
     members, similar = similar_sets(docs, job)
-    members = materialise(members, "members")
     left, right = members.selectExpr("doc_id x", "set_id a"), members.selectExpr("doc_id y", "set_id b")
     paired = materialise(members.join(similar.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi"), "paired")
-    wrap = F.broadcast if paired.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda x: x
+    wrap = F.broadcast if paired.limit(_store.BROADCAST_IDS + 1).count() <= _store.BROADCAST_IDS else lambda x: x
     across = similar.join(wrap(paired.selectExpr("doc_id x", "set_id a")), "a").join(wrap(paired.selectExpr("doc_id y", "set_id b")), "b").select("x", "y", "jaccard")
     within = left.join(right, F.col("a") == F.col("b")).select("x", "y", F.lit(1.0).alias("jaccard"))
     both = across.unionByName(within.filter("x < y")).filter("x <> y")
@@ -370,15 +669,17 @@ def pairs(docs: DataFrame, job: Join) -> DataFrame:
 
 def groups(docs: DataFrame, job: Join) -> DataFrame:
     """(doc_id, group_id): connected documents share as group_id the smallest doc_id among them; documents without tokens are absent."""
-    members, similar = similar_sets(docs, job)
-    members = materialise(members, "members")
+    members, similar = similar_sets(docs, job, spanning=True)
     # A document met with several texts ties their sets together, as a pair of equal sets does.
     edges = members.groupBy("set_id").agg(F.min("doc_id").alias("u")).join(members, "set_id").selectExpr("u", "doc_id v")
     first = members.groupBy("set_id").agg(F.min("doc_id").alias("u"))
     links = similar.join(first.selectExpr("set_id a", "u ua"), "a").join(first.selectExpr("set_id b", "u ub"), "b").selectExpr("ua u", "ub v")
     found = components(edges.unionByName(links).filter("u <> v"))
     out = members.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
-    return materialise(out, "groups")
+    done = materialise(out, "groups")
+    for x in (members, similar, found):
+        discard(x)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -404,4 +705,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(sums) == before:
             break
         before = tuple(sums)
-    return e.selectExpr("v doc_id", "u group_id").unionByName(e.selectExpr("u doc_id", "u group_id").distinct()).distinct()
+    stars = materialise(e.selectExpr("v doc_id", "u group_id").unionByName(e.selectExpr("u doc_id", "u group_id").distinct()).distinct(), "stars")
+    discard(e)
+    return stars

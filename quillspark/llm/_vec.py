@@ -121,21 +121,24 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, start, end), at
 
 
-def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text, the hashes of its word n-grams, repeats included, and of the first and last word of each.
+def ngrams(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams of texts, repeats included, the first and last word of each, and where each text's begin.
 
     A text of fewer than n words has one gram of all its words; one of none has none.
     """
     full = h
     for k in range(1, n):
         full = mix(full[:-1] * np.uint64(0x9FB21C651E98DF25) + h[k:]) if len(full) > 1 else full[:0]
-    for a, b in zip(at[:-1], at[1:]):
-        if b - a >= n:
-            yield full[a : b - n + 1], h[a : b - n + 1], h[a + n - 1 : b]
-        elif b > a:
-            short = h[a : a + 1]
-            for k in range(1, b - a):
-                short = mix(short * np.uint64(0x9FB21C651E98DF25) + h[a + k])
-            yield short, h[a : a + 1], h[b - 1 : b]
-        else:
-            yield h[:0], h[:0], h[:0]
+    words = np.diff(at)
+    count = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    cut = np.append(0, np.cumsum(count))
+    begin = np.arange(cut[-1]) + np.repeat(at[:-1] - cut[:-1], count)
+    out, last = np.zeros(cut[-1], np.uint64), begin + n - 1
+    long = np.repeat(words >= n, count)
+    out[long] = full[begin[long]]
+    for i in np.flatnonzero((words > 0) & (words < n)).tolist():
+        short = h[at[i] : at[i] + 1]
+        for k in range(1, words[i]):
+            short = mix(short * np.uint64(0x9FB21C651E98DF25) + h[at[i] + k])
+        out[cut[i]], last[cut[i]] = short[0], at[i + 1] - 1
+    return out, h[begin], h[last], cut

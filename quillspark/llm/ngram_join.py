@@ -3,7 +3,8 @@
 Defined results: rows with a null doc_id, a null text or no word are in no pair;
 repeated rows count once; a document is never paired with itself; documents with
 equal n-gram sets are pairs of similarity 1; a text of fewer than n words has one
-gram of all its words; other columns are not read.
+gram of all its words; very long texts are read whole; a table without rows gives no pair; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ THRESHOLD = 0.65
 
 
 def grams(texts, n: int = N):
-    """Word n-gram hashes of each text."""
+    """Word n-gram hashes of texts, as ``ngrams`` returns them."""
     h, at = words(texts)
     return ngrams(h, at, n)
 
 
 def job(n: int = N, threshold: float = THRESHOLD) -> _setjoin.Join:
-    """Pairs and triples of tokens begin where a token is in so many sets that single ones would meet too often."""
+    """The join of n-gram sets."""
     return _setjoin.Join(partial(grams, n=n), threshold)
 
 

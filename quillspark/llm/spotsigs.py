@@ -2,14 +2,16 @@
 
 After each anchor, a common word, comes a chain of the next CHAIN content words
 (words that are not anchors); anchor and chain make one spot signature. The
-signatures of a document form its fingerprint. Fingerprints are partitioned by
-size, so that similar ones lie in one partition or in neighbouring ones, and within
-a partition compared from rare signatures to common ones, as far as the threshold
-demands (see ``_setjoin``).
+signatures of a document form its fingerprint. The list of the fingerprints that hold a
+signature is in order of size and compared by stretches from a size to that size over the
+threshold, the narrowest partition by length that loses no pair; signatures are indexed from rare to
+common ones, as far as the threshold demands, and pairs dropped as soon as the positions of what they share
+exclude it (see ``_setjoin``).
 
 Defined results: a text without any full chain has, as only signature, the hash of
 its word sequence, so copies of it are still found; rows with a null doc_id, a null
-text or no word are in no pair; repeated rows count once; other columns are not read.
+text or no word are in no pair; repeated rows count once; ties don't arise, as all pairs are returned;
+very long texts are read whole; a table without rows gives no pair; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ ANCHORS = (
 CHAIN = 2
 #: Production threshold of similarity.
 THRESHOLD = 0.5
+#: Signatures that similar fingerprints must have in common; they are few, so few are asked for.
+COMMON = 4
 
 _anchor_hashes: list[np.ndarray] = []
 
@@ -42,8 +46,8 @@ def anchor_hashes() -> np.ndarray:
     return _anchor_hashes[0]
 
 
-def spots(texts: pa.Array, chain: int = CHAIN):
-    """Spot signatures of each text, repeats included, with the first and last content word of each."""
+def spots(texts: pa.Array, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spot signatures of texts, repeats included, the first and last content word of each, and where each text's begin."""
     h, at = words(texts)
     known = anchor_hashes()
     is_anchor = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
@@ -58,21 +62,21 @@ def spots(texts: pa.Array, chain: int = CHAIN):
     sig, first, last = h[anchors], h[content[nxt]], h[content[nxt + chain - 1]]
     for k in range(chain):
         sig = mix(sig * np.uint64(0x9FB21C651E98DF25) + h[content[nxt + k]])
-    cut = np.searchsorted(anchors, at)
-    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-        if b > a:
-            yield sig[a:b], first[a:b], last[a:b]
-        elif at[i + 1] > at[i]:
-            w = h[at[i] : at[i + 1]]
-            whole = mix(w * np.uint64(0xD1342543DE82EF95) + mix(np.arange(len(w), dtype=np.uint64))).sum(dtype=np.uint64)
-            yield mix(np.array([whole], np.uint64)), w[:1], w[-1:]
-        else:
-            yield h[:0], h[:0], h[:0]
+    doc = np.searchsorted(at, anchors, side="right") - 1
+    bare = np.setdiff1d(np.flatnonzero(np.diff(at)), doc)
+    whole = np.zeros(len(bare), np.uint64)
+    for j, i in enumerate(bare.tolist()):
+        w = h[at[i] : at[i + 1]]
+        whole[j] = mix(w * np.uint64(0xD1342543DE82EF95) + mix(np.arange(len(w), dtype=np.uint64))).sum(dtype=np.uint64)
+    doc = np.concatenate([doc, bare])
+    order = np.argsort(doc, kind="stable")
+    ends = np.concatenate([first, h[at[bare]]]), np.concatenate([last, h[at[bare + 1] - 1]])
+    return np.concatenate([sig, mix(whole)])[order], ends[0][order], ends[1][order], np.searchsorted(doc[order], np.arange(len(at)))
 
 
 def job(threshold: float = THRESHOLD) -> _setjoin.Join:
-    """Partitioned by length; the signatures of lines that many documents share go in combinations."""
-    return _setjoin.Join(spots, threshold, by_length=True)
+    """The signatures of lines that many documents share go in combinations."""
+    return _setjoin.Join(spots, threshold, common=COMMON)
 
 
 def fingerprint_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,38 +6,71 @@ from functools import partial
 import numpy as np
 import pytest
 
-from quillspark.llm import _setjoin, ngram_join, spotsigs
+from quillspark.llm import _setjoin, _store, ngram_join, spotsigs
 
 from .util import WORD, brute_pairs, docs, empty, gram_set, local
 
 
-@pytest.mark.parametrize("t", [0.5, 0.65, 0.9])
+def as_sets(*tokens):
+    """Sets of one slice from arrays of tokens."""
+    each = [np.unique(np.asarray(x, np.uint64)) for x in tokens]
+    token = np.concatenate(each)
+    return _setjoin.Sets(None, np.arange(len(each)), np.append(0, np.cumsum([len(x) for x in each])), token, token, token)
+
+
+def signed(x, t, common, classes):
+    """Signatures of sets whose tokens have the classes that a function of the token gives."""
+    return _setjoin.signatures(x, classes(x.token), (x.token % np.uint64(50)).astype(np.int64), t, common)
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.65, 0.9])
 def test_similar_sets_share_enough_signatures(t):
     """Whatever the classes of the tokens, two similar sets share the promised number, within their prefixes and positions."""
     r = np.random.default_rng(1)
-    for trial in range(400):
-        universe = r.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
-        classes = r.integers(1, 4, _setjoin.BUCKETS).astype(np.int8) if trial % 4 else np.full(_setjoin.BUCKETS, trial % 3 + 1, np.int8)
-        words = np.zeros(_setjoin.BUCKETS, np.float32)
-        n = int(r.integers(1, 25))
+    tried = 0
+    for trial in range(1500):
+        universe = r.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
+        kinds = trial % 4
+        classes = (lambda s: (1 + s // np.uint64(2) % np.uint64(3)).astype(np.int8)) if kinds == 0 else lambda s: np.full(len(s), kinds, np.int8)
+        n = int(r.integers(1, 25 if trial % 2 else 220))
         x = r.choice(universe, n, replace=False)
-        y = np.concatenate([x[r.random(n) < 0.9], r.choice(universe, int(r.integers(0, 4)), replace=False)])
+        y = np.concatenate([x[r.random(n) < r.choice([0.95, (1 + t) / 2, t + 0.05])], r.choice(universe, int(r.integers(0, 4 + n // 8)), replace=False)])
         x, y = np.unique(x), np.unique(y)
         if not len(y) or len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < t:
             continue
+        tried += 1
         x, y = sorted((x, y), key=len)
-        a = _setjoin.signatures(*_setjoin.ordered(x, x, x, classes, words), t, 8)
-        b = _setjoin.signatures(*_setjoin.ordered(y, y, y, classes, words), t, 8)
+        g = signed(as_sets(x, y), t, 8, classes)
         need = t / (1 + t) * (len(x) + len(y)) - 1e-9
-        k = min(a[3], b[3])
-        pa, pb = {}, {}
-        for s, p, short in zip(*a[:3]):
-            if short:
-                pa[s] = p
-        for s, p in zip(*b[:2]):
-            pb[s] = p
-        most = sorted((min(len(x) - pa[s], len(y) - pb[s]) for s in pa.keys() & pb.keys()), reverse=True)
+        k = min(g.k)
+        mine, other = ({s: p for o, s, p, kind in zip(g.owner, g.sig, g.pos, g.kind) if o == i and kind >> 1 == 0 and (i or kind & 1)} for i in (0, 1))
+        most = sorted((min(len(x) - mine[s], len(y) - other[s]) for s in mine.keys() & other.keys()), reverse=True)
         assert most and most[0] >= need and sum(m >= need - (k - 1) for m in most) >= k
+    assert tried > 300
+
+
+@pytest.mark.parametrize("n", [300, 5000])
+@pytest.mark.parametrize("kind", [1, 2, 3])
+def test_combinations_stay_linear(n, kind):
+    """However frequent its tokens, a set's signatures are a small multiple of what its partners may lack."""
+    g = signed(as_sets(np.random.default_rng(n).integers(0, 2**63, n)), 0.65, 8, lambda s: np.full(len(s), kind, np.int8))
+    assert len(g.sig) < {1: 1.2, 2: 4, 3: 16}[kind] * 0.35 * n + 20
+
+
+def test_classes_move_with_the_number_of_sets():
+    """A token's class depends on its share of the sets, beyond the posting that single tokens may have."""
+    table = np.zeros(_setjoin.TABLES * _setjoin.BUCKETS, np.int64)
+    table[:4] = table[_setjoin.BUCKETS : _setjoin.BUCKETS + 4] = 900, 1100, 30_000, 40_000
+    one, two, _ = _setjoin.frequencies(table, 10**6, 1000)
+    assert one[:4].tolist() == two[:4].tolist() == [1, 2, 2, 3]  # the square root is at 31623
+    table *= 60
+    assert _setjoin.frequencies(table, 60 * 10**6, 1000)[0][:4].tolist() == [2, 2, 3, 3] and _setjoin.frequencies(table, 60 * 10**6, 60_000)[0][:4].tolist() == [1, 2, 2, 3]
+
+
+def test_packing_of_columns():
+    r = np.random.default_rng(2)
+    columns = [np.zeros(0, np.int64), r.integers(0, 2**63, 100).astype(np.uint64), np.arange(300), np.array([2**64 - 1], np.uint64)]
+    assert all(np.array_equal(np.asarray(a, np.uint64), b) for a, b in zip(columns, _setjoin.unpack(_setjoin.pack(*columns)), strict=True))
 
 
 def spot_set(text):
@@ -65,13 +98,40 @@ def test_ngram_join(spark):
     assert collected(ngram_join.jaccard_join(empty(spark))) == {}
 
 
-@pytest.mark.parametrize("pairs_from,triples_from", [(-(10**9), 10**9), (-(10**9), -(10**9))])
-def test_ngram_join_with_frequent_tokens(spark, pairs_from, triples_from):
-    """With every token in class 2 or 3, only combinations are indexed."""
+@pytest.mark.parametrize("posting", [0, 1, 3])
+def test_ngram_join_with_frequent_tokens(spark, posting):
+    """With most tokens in class 2 or 3, only combinations are indexed, and small sets by single tokens."""
+    r = np.random.default_rng(posting)
+    base = [f"w{i}" for i in range(60)]
     texts = ["a b c d e f g h i j k l", "a b c d e f g h i j k m", "a b c d e x g h i j k l", "q w e r t y u i o p", "a b", "a b", "a b c"]
+    for _ in range(30):
+        w = list(base)
+        for j in r.integers(0, 60, int(r.integers(0, 9))):
+            w[j] = base[int(r.integers(0, 60))]
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_pairs(list(enumerate(texts)), lambda x: gram_set(x, 2), 0.5)
+    assert collected(_setjoin.pairs(d, _setjoin.Join(partial(ngram_join.grams, n=2), 0.5, posting))) == want and len(want) > 100
+
+
+def test_long_text_of_frequent_tokens(spark):
+    """Every token of two long texts is frequent: combinations don't explode."""
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words), " ".join(words[:4900] + ["x"] * 100)] + [" ".join(words[i : i + 40]) for i in range(0, 5000, 20)] * 2
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    job = _setjoin.Join(partial(ngram_join.grams, n=2), 0.5, pairs_from, triples_from)
-    assert collected(_setjoin.pairs(d, job)) == brute_pairs(list(enumerate(texts)), lambda x: gram_set(x, 2), 0.5)
+    got = collected(_setjoin.pairs(d, _setjoin.Join(partial(ngram_join.grams, n=2), 0.65, 1)))
+    assert got[0, 1] == round(4899 / 5001, 6) and len(got) == 251
+
+
+def test_bounds_of_broadcasts_and_slices(spark, monkeypatch):
+    """Beyond what is broadcast, and with signatures in many small portions, results are the same."""
+    d = docs(spark)
+    want = collected(ngram_join.jaccard_join(d))
+    monkeypatch.setattr(_store, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(_setjoin, "FLUSH", 50)
+    monkeypatch.setattr(_setjoin, "PER_PARTITION", 3000)
+    monkeypatch.setattr(_setjoin, "EXPAND", 7)
+    assert collected(ngram_join.jaccard_join(d)) == want and want
 
 
 def test_families_leave_no_pair_out(spark):
@@ -79,14 +139,36 @@ def test_families_leave_no_pair_out(spark):
     r = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
-    for k in range(60):
-        w = list(base if k < 45 else base[:80] + [f"v{i}" for i in range(40)])
-        for j in r.integers(0, 120, int(r.integers(0, 14))):
+    for k in range(420):
+        w = list(base if k < 300 else base[:80] + [f"v{i}" for i in range(40)])
+        for j in r.integers(0, 120, int(r.integers(0, 9))):
             w[j] = f"x{r.integers(0, 10**6)}"
         texts += [" ".join(w)] * (1 + (k % 10 == 0))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_pairs(list(enumerate(texts)), lambda x: gram_set(x, 2), 0.65)
-    assert collected(ngram_join.jaccard_join(d)) == want and 200 < len(want) < 60 * 67
+    assert collected(ngram_join.jaccard_join(d)) == want and 20000 < len(want) < 420 * 462
+    low = {i: i for i in range(len(texts))}
+    for a, b in sorted(want):
+        low[b] = min(low[b], low[a])
+    got = {x.doc_id: x.group_id for x in ngram_join.duplicate_groups(d).collect()}
+    assert len(set(got.values())) < 20 and all(got[a] == got[b] for a, b in want)
+
+
+def test_blocks_of_a_family_meet_once(monkeypatch):
+    """Each two sets of fitting lengths share exactly one key, with sides that compare them."""
+    monkeypatch.setattr(_setjoin, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    n = np.sort(r.integers(20, 200, 90))
+    sig = np.repeat(np.array([5, 9], np.uint64), [50, 40])
+    who = np.concatenate([np.arange(50), np.sort(r.choice(90, 40, replace=False))])
+    run = np.where(sig == 9, 1, 0) << 32
+    upto = np.searchsorted(run | n[who], run | np.floor(n[who] / 0.5).astype(np.int64), side="right")
+    key, sets, side = _setjoin._members(sig, np.arange(90), who, upto, n, 0.5)
+    for lo, hi in ((0, 50), (50, 90)):
+        for i in range(lo, hi):
+            for j in range(i + 1, min(upto[i], hi)):
+                shared = [k for k in set(key[sets == who[i]]) & set(key[sets == who[j]]) for a in side[(key == k) & (sets == who[i])] for b in side[(key == k) & (sets == who[j])] if a == b == _setjoin.ONLY or {a, b} == {0, 1}]
+                assert len(shared) >= 1 and len(set(shared)) == len(shared)
 
 
 def test_duplicate_groups(spark):
