@@ -5,8 +5,15 @@ from __future__ import annotations
 import random
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "NATIONAL_ID", "IBAN", "PERSON", "SECRET")
-#: Words that introduce names.
-CUES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Dear", "Herr", "Frau", "Señor", "Monsieur", "Madame", "my name is", "My name is", "Name:? ")
+#: Common first names of English, German, French and Spanish, which introduce a name where words with capitals follow.
+FIRST_NAMES = (
+    "james john robert michael william david richard joseph thomas christopher charles daniel matthew anthony donald steven paul andrew joshua kenneth kevin brian george timothy ronald jason edward jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon "
+    "benjamin samuel gregory alexander patrick jack peter henry oliver simon martin philip mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie "
+    "rebecca sharon laura cynthia kathleen amy angela shirley anna brenda pamela emma nicole helen samantha katherine christine rachel carolyn janet maria heather diane julie joyce victoria kelly christina joan evelyn olivia sophie charlotte "
+    "hans klaus jürgen wolfgang werner dieter günter gerhard helmut manfred stefan andreas jens uwe matthias sven markus florian tobias lukas felix maximilian ursula monika petra sabine renate helga karin brigitte ingrid heike gabriele susanne birgit claudia katrin anja silke hannah lena "
+    "jean pierre michel jacques philippe françois laurent nicolas julien antoine christophe olivier sébastien guillaume marie nathalie isabelle sylvie catherine françoise valérie sandrine céline aurélie camille chloé élodie mathilde "
+    "josé juan carlos luis javier miguel ángel pedro fernando jorge alberto sergio diego raúl rafael pablo enrique carmen josefa isabel dolores cristina pilar elena lucía marta teresa raquel beatriz rocío mercedes inés gloria"
+).split()
 
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é è ü ö ñ qu eau ch ß ment ción ung heit ll za".split()
 _SHORT = "the of and to in is that it for der die und le la les de des el los y con on by".split()
@@ -34,6 +41,12 @@ def _name(r: random.Random) -> str:
     return f"{name}-{r.choice(_SYLLABLES).capitalize()}" if form < 0.25 else name
 
 
+def _full_name(r: random.Random) -> str:
+    """A first name of the list, with one or two others or alone."""
+    first = r.choice(FIRST_NAMES).capitalize()
+    return first + "".join(" " + (r.choice(FIRST_NAMES).capitalize() if r.random() < 0.15 else _name(r)) for _ in range(r.choice([0, 1, 1, 1, 2])))
+
+
 def _plain(r: random.Random) -> str:
     return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
 
@@ -70,6 +83,9 @@ def _letters(r: random.Random) -> tuple[str, str, str]:
     made = r.choice([lambda: "".join(_plain(r) for _ in range(4))[: r.randint(9, 28)], lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(9, 40)))])()
     quote = r.choice(['"', "'", "", ""])
     word = r.choice(["password", "password", "Password", "PASSWORD", "secret", "token", "api_key", "API_TOKEN", "secret_key", "SECRET"])
+    if r.random() < 0.25:  # in prose, with a digit or two
+        at = r.randint(1, 8)
+        return r.choice(["password", "Password", "secret", "token", "key", "passwd"]) + r.choice([" is ", " is ", " was ", " "]), made[:at] + _digits(r, r.randint(1, 3)) + made[at : at + r.randint(3, 9)], ""
     return word + r.choice([" = ", "=", ": ", ":", " : "]) + quote, made.ljust(9, "x"), quote
 
 
@@ -78,6 +94,11 @@ def _entity(r: random.Random) -> tuple[str, str, str, int]:
     k = r.choice([1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7, 7, 7, 8, 8])
     if k == 8:
         return *(_letters(r) if r.random() < 0.5 else _secret(r)), k
+    if k == 7 and r.random() < 0.4:
+        return "", _full_name(r), "", k
+    if k == 5 and r.random() < 0.4:
+        letter = r.choice(["", r.choice("ABCDEFGHJKLMNPRSTXYZ")])
+        return r.choice(["passport", "Passport", "passport no", "passport no.", "passport number", "Passport No", "id no", "licence no", "licence number", "license number"]) + r.choice([" ", ": "]), letter + _digits(r, r.choice([7, 8] if letter else [8, 9])), "", k
     if k == 7:
         cue = r.choice(["Mr. ", "Mr ", "Mrs. ", "Ms ", "Dr. ", "Prof. ", "Dear ", "Herr ", "Frau ", "Señor ", "Monsieur ", "Madame ", "my name is ", "My name is ", "Name: "])
         return cue, _name(r) + (" " + _name(r) if r.random() < 0.5 else ""), "", k
@@ -102,11 +123,29 @@ def _harmless(r: random.Random) -> str:
     )
 
 
+def _junk(r: random.Random) -> str:
+    """A text without personal data in an odd form: one word or line over and over, capitals throughout, marks after each word, cells."""
+    words = [_word(r) if r.random() < 0.5 else "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 5))) for _ in range(r.randint(3, 60))]
+    mark = r.choice(["", "", "!!", "&&&", "###", "%%%", "$$$", "***", " |", ","])
+    form = r.random()
+    if form < 0.25:
+        return " ".join([r.choice([str.capitalize, str.upper, str.lower])(words[0])] * r.randint(3, 90))
+    if form < 0.4:
+        return "\n".join([" ".join(words[:8]).capitalize() + r.choice([".", ""])] * r.randint(2, 9))
+    if form < 0.75:
+        return " ".join(w.upper() + mark * (r.random() < 0.9) for w in words)
+    return " ".join((w.capitalize() if r.random() < 0.3 else w) + r.choice(["", "."]) * (r.random() < 0.2) + mark for w in words)
+
+
 def corpus(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
     """n texts and their labelled spans (start, end, label)."""
     r = random.Random(seed)
     texts, spans = [], []
     for _ in range(n):
+        if r.random() < 0.15:
+            texts.append(_junk(r))
+            spans.append([])
+            continue
         text, found, known = "", [], []
         noise = r.choice([None, None, None, ["&&&", "###", "%%%", "$$$", "***"], ["!!"], [" |"], [","]])
         start, upper = True, r.random() < 0.12
@@ -133,11 +172,12 @@ def corpus(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]
                 put(_word(r))
             what = r.random()
             if what < 0.35:
-                put(_harmless(r))
+                names = [x for _, made, _, k in known if k == 7 for x in made.split()]
+                put(r.choice(names).lower() if names and r.random() < 0.1 else _harmless(r))
                 continue
             if known and what < 0.6:
                 before, made, after, k = r.choice(known)
-                before, after = (before, after) if k == 8 else ("", "")
+                before, after = (before, after) if k == 8 or k == 5 and "-" not in made else ("", "")
                 if k == 7:
                     made = r.choice(made.split()) if r.random() < 0.5 else made
                     made = made.upper() if r.random() < 0.15 else made
@@ -147,7 +187,8 @@ def corpus(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]
             if upper:
                 before, made, after = before.upper() if k != 7 else before, made.upper(), after
             text += before
-            found.append((len(text), len(text) + len(made), k))
+            if not (k == 7 and start and not before and " " not in made):  # one word with a capital at the start of a sentence says nothing
+                found.append((len(text), len(text) + len(made), k))
             start = False
             text += made + after
             put("")
