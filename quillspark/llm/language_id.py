@@ -1,23 +1,26 @@
 """Operator 4: language identification by string kernels.
 
 A text is the set of its blended spectrum: all byte n-grams, n = 1..SPECTRUM, of its
-lower-cased letters, other characters being one space. The kernel of two texts is
-the number of n-grams present in both over the geometric mean of their numbers.
+lower-cased letters, other characters being one space, hashed to BUCKETS places; n-grams that
+share a place count as one. The kernel of two texts is the number of places present in
+both over the geometric mean of their numbers.
 LANDMARKS labelled texts span the Nyström approximation; one-versus-rest kernel ridge
 regression is solved in its coordinates. As the kernel is a product of presence
 vectors, landmarks, whitening and weights multiply out, once, to a matrix of n-grams by
 languages, and each batch of documents is scored by one product with it.
 
 The model is trained on at most TRAIN_PER_LANGUAGE labelled rows of each language,
-chosen by hash of doc_id. A document is rejected if it has no letter, or if it has EVIDENCE
-different n-grams and every language's regression disclaims it (scores <= REJECT);
-a shorter text has too few n-grams to be held against it.
+chosen by hash of doc_id. A document is rejected if it has no letter, or if every language
+disclaims it: its score is lower than that of the language's own texts with as many different
+n-grams by more than DEVIATIONS standard deviations. Mean and deviation, as functions of
+the number of n-grams, come from the labelled rows, whole and cut to their first halves,
+quarters and so on; few n-grams scatter widely, so little is held against them.
 
 Defined results: a null or empty text, or one without letters, is rejected with a null
 language; ties go to the first language in alphabetical order; rows without a
 label or doc_id are scored, not trained on; every row, repeated or not, is returned;
 without any labelled row nothing is learned, languages are null and only texts without
-letters are rejected. Columns other than doc_id, text and lang are not read.
+letters are rejected; very long texts are read whole; a table without rows gives none. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pick
+from ._store import map_rows, pick
 from ._vec import lean, slices, utf8
 
 SPECTRUM = 4
@@ -39,8 +42,7 @@ BUCKETS = 1 << 16
 TRAIN_PER_LANGUAGE = 400
 LANDMARKS = 128
 RIDGE = 1e-3
-REJECT = -0.1
-EVIDENCE = 120
+DEVIATIONS = 5.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -88,11 +90,18 @@ def product(x: np.ndarray, cuts: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, and the weights of n-grams by languages with their constants."""
+    """Languages, the weights of n-grams by languages with their constants, and the least score of a language's own texts by the binary logarithm of their number of n-grams."""
 
     languages: list[str]
     weights: np.ndarray
     constant: np.ndarray
+    least: np.ndarray
+
+    def claimed(self, scores: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which texts some language claims, by their scores and numbers of n-grams."""
+        at = np.log2(np.maximum(n, 1))
+        bound = np.stack([np.interp(at, np.arange(self.least.shape[1]), b) for b in self.least], axis=1)
+        return (scores >= bound).any(axis=1)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(score of each text and language, number of n-gram buckets present)."""
@@ -122,7 +131,26 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     share = np.array([1 / labels.count(z) for z in labels]) * len(labels) / len(languages)  # languages weigh alike
     beta = np.linalg.solve(phi.T @ (phi * share[:, None]) + RIDGE * len(k) * np.diag(np.append(np.ones(phi.shape[1] - 1), 0) + 1e-9), phi.T @ (y * share[:, None]))
-    return Model(languages, (m @ (whiten @ beta[:-1]).astype(np.float32)).astype(np.float32), beta[-1].astype(np.float32))
+    found = Model(languages, (m @ (whiten @ beta[:-1]).astype(np.float32)).astype(np.float32), beta[-1].astype(np.float32), np.zeros((len(languages), 1)))
+    found.least = least_scores(found, texts, labels)
+    return found
+
+
+def least_scores(model: Model, texts: list[str], labels: list[str]) -> np.ndarray:
+    """Languages by binary logarithms of numbers of n-grams: mean less DEVIATIONS deviations of the own scores of labelled texts and their beginnings."""
+    out = np.zeros((len(model.languages), BUCKETS.bit_length()))
+    for j, language in enumerate(model.languages):
+        mine = [t for t, y in zip(texts, labels) if y == language]
+        mine = list({t[: len(t) >> k] for t in mine for k in range(8) if len(t) >> k})
+        found = [model.scores(part) for _, part in slices(pa.array(mine, pa.string()))]
+        own, n = np.concatenate([s[:, j] for s, _ in found]).astype(np.float64), np.concatenate([n for _, n in found])
+        own, at = own[n > 0], np.rint(np.log2(n[n > 0])).astype(int)
+        # Neighbouring bins count too, with less weight: bounds change gradually, and thin bins lean on them.
+        near = np.exp(-((at[None, :] - np.arange(out.shape[1])[:, None]) ** 2).astype(float))
+        near /= near.sum(axis=1, keepdims=True)
+        mean = near @ own
+        out[j] = mean - DEVIATIONS * np.sqrt(np.maximum(near @ own**2 - mean**2, 1e-4))
+    return out
 
 
 def trained(texts: list[str], labels: list[str]) -> Model | None:
@@ -174,7 +202,7 @@ def decide(model: Model | None, texts: pa.Array) -> dict[str, pa.Array]:
     best = s.argmax(axis=1)
     top = s[np.arange(len(s)), best].astype(np.float64)
     rest = np.sort(s, axis=1)[:, -2].astype(np.float64) if s.shape[1] > 1 else np.full(len(s), -1.0)
-    keep = some & ((top > REJECT) | (n < EVIDENCE))
+    keep = some & model.claimed(s, n)
     return {
         "language": pa.array(np.array(model.languages, object)[best], pa.string(), mask=~keep),
         "score": pa.array(np.round(top, 4), mask=~some),
@@ -195,4 +223,4 @@ def keep_identified(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) ->
             if keep:
                 yield b.filter(pa.concat_arrays(keep))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return map_rows(docs, lean(run))
