@@ -7,8 +7,11 @@ intersected and united as its query says, and the remaining candidates are verif
 with the expression itself. A rule without a mandatory trigram scans all texts.
 Segments are slices of a task's input: the index needs no shuffle.
 
+Letters fold as in the expressions, which are ASCII: A to Z alone have a small form.
+
 Defined results: rows with a null or empty text have no finding; a row with a null
-doc_id is reported with it; repeated rows are reported each; other columns are not read.
+doc_id is reported with it; repeated rows are reported each; very long texts are read whole;
+a table without rows gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,16 +125,21 @@ def _repeated(arg) -> set[str] | None:
     return out
 
 
+def _fold(code: int) -> str:
+    """A character in small letters, if it is one of ASCII."""
+    return chr(code).lower() if code < 128 else chr(code)
+
+
 def _one(kind, arg) -> tuple[set[str] | None, Query]:
     if kind is op.LITERAL:
-        return {chr(arg).lower()}, True
+        return {_fold(arg)}, True
     if kind is op.IN:
         chars: set[str] = set()
         for k, a in arg:
             if k is op.LITERAL:
-                chars.add(chr(a).lower())
+                chars.add(_fold(a))
             elif k is op.RANGE and a[1] - a[0] < 16:
-                chars |= {chr(c).lower() for c in range(a[0], a[1] + 1)}
+                chars |= {_fold(c) for c in range(a[0], a[1] + 1)}
             else:
                 return None, True
         return (chars, True) if len(chars) <= 16 else (None, True)
