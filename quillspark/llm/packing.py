@@ -15,7 +15,8 @@ hash bucket and doc_id, and the k-th takes the k-th place that the solution has
 
 Defined results: a null or empty text has no tokens and is in no bin; rows with a
 null doc_id are packed; repeated rows are packed each; rows of one doc_id and length are
-interchangeable; other columns are not read.
+interchangeable; very long texts are cut in as many pieces as it takes; a table without rows gives none;
+other columns are not read.
 """
 
 from __future__ import annotations
