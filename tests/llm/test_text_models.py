@@ -52,6 +52,41 @@ def test_trigram_queries_follow_from_matches(pattern, hits, misses):
     assert (q is True) == (pattern in ("[0-9a-f]{40}", "x*"))
 
 
+def random_pattern(r, depth=2):
+    """An expression over few letters, some beyond ASCII."""
+    def part():
+        k = r.random()
+        if k < 0.55 or not depth:
+            return "".join(r.choice("abcÄÖäK1") for _ in range(r.randint(1, 4)))
+        if k < 0.7:
+            return r.choice(["[aB]", "[a-c]", "[0-9]", "[ÄÖ]", "[^x]", "\\d"]) + r.choice(["", "+", "{2}", "{1,3}", "?"])
+        inner = "|".join(random_pattern(r, depth - 1) for _ in range(r.randint(1, 3)))
+        return f"(?:{inner}){r.choice(['', '', '+', '*', '?', '{2}'])}"
+
+    return "".join(part() for _ in range(r.randint(1, 4)))
+
+
+def test_scan_equals_search_for_random_expressions():
+    r = random.Random(12)
+    hits = 0
+    for trial in range(300):
+        p = r.choice(["", "(?i)"]) + random_pattern(r)
+        texts = ["".join(r.choice("abcABCÄÖäöKk1x ") for _ in range(r.randint(0, 40))) for _ in range(25)]
+        if trial % 2:  # something that surely matches, in odd letters
+            literal = re.sub(r"[^abcÄÖäK1]", "", p)
+            texts += [f"xx {literal} yy", f"xx {literal.swapcase()} yy"]
+        want = [(i, "r", [m.group(0) for m in re.finditer(p, t, re.A)]) for i, t in enumerate(texts)]
+        got = {i: m for i, _, m in secrets.scan_texts(pa.array(texts), (("r", p),))}
+        assert got == {i: m for i, _, m in want if m}, p
+        hits += len(got) * (secrets.trigram_query(p) is not True)
+    assert hits > 100
+
+
+@pytest.mark.parametrize("pattern,text", [("ÄÖÜ[0-9]{5}", "xx ÄÖÜ12345 yy"), ("(?i)ÄbC[0-9]{5}", "xx ÄBc12345 yy"), ("[ÄÖ]bcd", "Öbcd"), ("(?i)straße", "STRAßE")])
+def test_letters_beyond_ascii(pattern, text):
+    assert list(secrets.scan_texts(pa.array([text]), (("r", pattern),))) == [(0, "r", re.findall(pattern, text, re.A))] != []
+
+
 def test_index_agrees_with_search():
     texts = array("abcd", "bcd", "", "ab", "cdabcd", "ABCD")
     ix = secrets.Index(texts, [b"abc", b"bcd", b"zzz"])
@@ -74,20 +109,56 @@ def sentence(r, lang, n=30):
     return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
 
 
-def test_language_kernel_is_the_kernel():
-    """The multiplied-out weights give what landmarks, whitening and regression give step by step."""
+def test_language_scores_are_those_of_the_method(monkeypatch):
+    """Kernel matrix, Nyström features and ridge regression, recomputed with sets and plain loops, give the scores and the bounds."""
+    monkeypatch.setattr(language_id, "LANDMARKS", 12)
     r = random.Random(1)
-    labels = [k for k in LANGS for _ in range(20)]
-    texts = [sentence(r, k) for k in labels]
+    labels = [k for k in LANGS for _ in range(14)] + ["en"] * 5
+    texts = [sentence(r, k, r.randint(3, 40)) for k in labels]
     m = language_id.fit(texts, labels)
     held = [(k, sentence(r, k)) for k in LANGS for _ in range(20)]
     s, n = m.scores(pa.array([t for _, t in held]))
-    assert np.mean([m.languages[i] == k for i, (k, _) in zip(s.argmax(axis=1), held)]) > 0.95
-    grams = lambda t: set(language_id.presence(pa.array([t]))[0].tolist())
-    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
-    x = grams(held[0][1])
-    direct = language_id.product(*language_id.presence(pa.array([held[0][1]])), m.weights)[0] / len(x) ** 0.5 + m.constant
-    assert np.allclose(direct, s[0], atol=1e-5) and n[0] == len(x) and abs(k(x, x) - 1) < 1e-12
+    assert np.mean([m.languages[i] == k for i, (k, _) in zip(s.argmax(axis=1), held)]) > 0.9
+
+    def place(g):
+        h = 0
+        for n, c in enumerate(g, 1):
+            h = (h * 0x01000193 + c + n) * 0x9E3779B1 % 2**32
+        return h >> 16
+
+    def grams(t):
+        spaced = re.sub(r"[^a-zà-ÿ]+", " ", t.lower()).encode()
+        found = {spaced[i : i + k] for k in range(1, 5) for i in range(len(spaced) - k + 1)}
+        return {place(g) for g in found}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    x, z = [grams(t) for t in texts], [grams(t) for _, t in held]
+    turns = sorted(range(len(texts)), key=lambda i: (labels[:i].count(labels[i]), i))[:12]
+    landmarks = [x[i] for i in turns]
+    w = np.array([[kernel(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(w)
+    root = vectors @ np.diag(values**-0.5)
+    features = lambda some: np.array([[kernel(a, b) for b in landmarks] for a in some]) @ root
+    phi = features(x)
+    for j, language in enumerate(sorted(LANGS)):
+        y = np.array([1.0 if k == language else -1.0 for k in labels])
+        weight = np.array([len(labels) / (len(LANGS) * labels.count(k)) for k in labels])
+        wide = np.hstack([phi, np.ones((len(phi), 1))])
+        penalty = language_id.RIDGE * len(phi) * np.diag([1.0] * phi.shape[1] + [0.0])
+        beta = np.linalg.solve(wide.T @ np.diag(weight) @ wide + penalty, wide.T @ (weight * y))
+        assert np.allclose(features(z) @ beta[:-1] + beta[-1], s[:, j], atol=2e-3) and n.tolist() == [len(g) for g in z]
+
+
+def test_few_ngrams_are_held_against_nobody():
+    """Gibberish is rejected when it is long; single words of a language are not, and the bound rises with the number of n-grams."""
+    r = random.Random(9)
+    labels = [k for k in LANGS for _ in range(60)]
+    m = language_id.fit([sentence(r, k, r.randint(2, 80)) for k in labels], labels)
+    keep = lambda *t: language_id.decide(m, pa.array(t))["keep"].to_pylist()
+    assert all(keep("the", "le", "der und", sentence(r, "en", 3), sentence(r, "fr", 1)))
+    noise = lambda n: " ".join("".join(r.choice("qxzjkvwy") for _ in range(6)) for _ in range(n))
+    assert not any(keep(noise(60), noise(400), noise(20000), "!!! 12", ""))
+    assert all(keep(*(sentence(r, k, n) for k in LANGS for n in (5, 40, 30000))))
 
 
 def test_presence_of_ngrams():
@@ -127,6 +198,43 @@ def test_quality(spark):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def test_quality_is_the_plain_vote(spark):
+    """Trigram shares, weights, singular vectors and cosines recomputed plainly; a labelled document doesn't vote for itself."""
+    r = random.Random(11)
+    texts = [sentence(r, r.choice(list(LANGS)), r.randint(4, 30)) + r.choice(["", "!!", " 12 12"]) for _ in range(50)]
+    ids, labels = [100 - i for i in range(40)], [i % 2 for i in range(40)]
+    m = quality.fit(texts[:40], labels, ids)
+
+    def plain(t):
+        x = np.zeros(quality.BUCKETS + 1)
+        b = t.encode()
+        shape = bytes(quality._SHAPE[list(b)].tolist())
+        for k, s in enumerate((b, shape)):
+            for i in range(len(s) - 2):
+                h = (((s[i] * 65599 + s[i + 1]) * 65599 + s[i + 2] + k) * 0x9E3779B1) % 2**32
+                x[(h >> 20) + k * quality.BUCKETS // 2] += 1
+        w = WORD.findall(t.lower())
+        x[-1] = 3 * sum(a == b for a, b in zip(w, w[1:]))
+        return np.sqrt(x / max(1, x.sum()))
+
+    x = np.array([plain(t) for t in texts])
+    idf = np.log1p(40 / (1 + (x[:40] > 0).sum(axis=0)))
+    a = x[:40] * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    right = np.linalg.svd(a, full_matrices=False)[2][: quality.DIMENSIONS]
+    v = (x * idf) @ right.T
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own = [*ids, *range(200, 210)]
+    want = []
+    for i in range(50):
+        near = sorted(((-float(v[i] @ v[j]), ids[j], labels[j]) for j in range(40) if ids[j] != own[i]))[: quality.NEIGHBOURS]
+        want.append(sum(-c * y for c, _, y in near) / sum(-c for c, _, _ in near))
+    assert np.allclose(m.scores(pa.array(texts), np.array(own)), want, atol=1e-4)
+    d = spark.createDataFrame([(i, t) for i, t in zip(own, texts)], "doc_id long, text string")
+    got = {x.doc_id: x.quality for x in quality.classify(d, spark.createDataFrame(list(zip(ids, labels)), "doc_id long, quality int")).collect()}
+    assert np.allclose([got[i] for i in own], want, atol=1e-4)
+
+
 def test_nearest_breaks_ties_by_order():
     cos = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [1, 1, 1, 1, 1.0]])
     assert quality.nearest(cos, 3).tolist() == [[0, 1, 2], [0, 1, 2]]
@@ -180,31 +288,120 @@ def test_token_counts(spark, exact):
 def test_held_out_entities():
     m = pii.trained()
     texts, spans = corpus(150, seed=1234)
-    g = pii.build(texts, [bool(pii._CUE_RE.search(t)) for t in texts])
+    g = pii.build(texts)
     y, got = pii.gold(g, spans), m.labels(g)
     for k, name in enumerate(LABELS):
         if k and (y == k).any():
-            assert ((y == k) & (got == k)).sum() / (y == k).sum() > 0.8, name
-    assert (y == got).mean() > 0.99
+            assert ((y == k) & (got == k)).sum() / (y == k).sum() > 0.85, name
+            assert ((y == k) & (got == k)).sum() / (got == k).sum() > 0.9, name
+    assert (y == got).mean() > 0.995
+
+
+def test_weights_belong_to_the_code():
+    """The weights file was fitted by the features, the corpus and the settings that are here."""
+    assert str(np.load(pii.WEIGHTS)["settings"]) == pii.settings()
+
+
+def test_fitting_learns():
+    """A short fit on few texts already finds held-out entities."""
+    m = pii.fit(*corpus(200, seed=3), epochs=4)
+    texts, spans = corpus(80, seed=4)
+    g = pii.build(texts)
+    y, got = pii.gold(g, spans), m.labels(g)
+    assert (y == got)[y > 0].mean() > 0.75 and (y == got).mean() > 0.98
 
 
-def test_propagation_is_exact_on_chains():
+def marginals(unary, chain, skip, t, s):
+    """Exact marginals by enumeration."""
+    from itertools import product
+
+    n, k = unary.shape
+    out = np.zeros((n, k))
+    for y in product(range(k), repeat=n):
+        w = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(t[y[i], y[j]] for i, j in chain) + sum(s[y[i], y[j]] for i, j in skip))
+        for i in range(n):
+            out[i, y[i]] += w
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_propagation_is_exact_on_chains(monkeypatch):
+    """Texts of several segments, with and without skip links that close no loop."""
+    monkeypatch.setattr(pii, "SEGMENT", 3)
+    monkeypatch.setattr(pii, "TOLERANCE", 1e-9)
     r = np.random.default_rng(6)
-    u, t = r.normal(size=(4, 3)), r.normal(size=(3, 3))
-    z = np.exp(u[0][:, None, None, None] + u[1][None, :, None, None] + u[2][None, None, :, None] + u[3] + t[:, :, None, None] + t[None, :, :, None] + t[None, None, :, :])
-    z /= z.sum()
-    node, pair, _ = pii.propagate(u, np.array([[0, 1], [1, 2], [2, 3]]), np.zeros((0, 2), np.int64), t, t)
-    assert np.allclose(node[1], z.sum(axis=(0, 2, 3)), atol=1e-4) and np.allclose(pair[1], z.sum(axis=(0, 3)), atol=1e-4)
+    for _ in range(20):
+        u, t, s = r.normal(size=(8, 3)), r.normal(size=(3, 3)), r.normal(size=(3, 3))
+        s = s + s.T
+        first = np.array([1, 0, 0, 0, 1, 0, 0, 0], bool)
+        skip = np.array([[1, 6]])
+        chain = [(i - 1, i) for i in range(1, 8) if not first[i]]
+        node, pairs, far = pii.propagate(u, first, skip, t, s, pairs=True)
+        assert np.allclose(node, marginals(u, chain, skip.tolist(), t, s), atol=1e-6)
+        assert np.allclose(pairs.sum(axis=2), node[[i for i, _ in chain]], atol=1e-6) and np.allclose(far[0].sum(axis=0), node[6], atol=1e-6)
+
+
+def test_propagation_is_close_on_loops(monkeypatch):
+    """Chains with several skip links: loopy beliefs against enumeration."""
+    monkeypatch.setattr(pii, "SEGMENT", 4)
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        n = int(r.integers(5, 9))
+        u, t = r.normal(size=(n, 3)) * 1.5, r.normal(size=(3, 3)) * 0.5
+        s = np.eye(3) * r.uniform(0.2, 0.8)
+        skip = np.array([[0, 2], [2, n - 1], [0, n - 1]] if n < 7 else [[0, 3], [3, 6], [0, 6], [1, 4]])
+        first = np.arange(n) == 0
+        got = pii.propagate(u, first, skip, t, s)[0]
+        want = marginals(u, [(i - 1, i) for i in range(1, n)], skip.tolist(), t, s)
+        assert np.abs(got - want).max() < 0.08
 
 
-def test_distant_mentions_support_each_other():
-    g = pii.build(["Mr Zorblat came. " + "and so on it went " * 30 + "then Zorblat left."], [True])
-    assert len(g.skip) == 1
-    u = np.zeros((len(g.doc), 2))
-    a, b = g.skip[0]
-    u[a, 1] = 3.0
-    node, _, _ = pii.propagate(u, g.chain, g.skip, np.zeros((2, 2)), np.array([[1.0, 0.0], [0.0, 1.0]]))
-    assert node[b, 1] > 0.6
+def test_propagation_goes_on_to_the_end_of_long_rows():
+    links = np.array([[i, i + 1] for i in range(59)])
+    u = np.zeros((60, 2))
+    u[0, 1] = 30.0
+    c = np.array([[4.0, 0.0], [0.0, 4.0]])
+    node = pii.propagate(u, np.ones(60, bool), links, c, c)[0]
+    stay = np.tanh(2.0) ** 59  # exact on a tree
+    assert abs(node[59, 1] - (1 + stay) / 2) < 1e-2
+
+
+def plain_detect(text):
+    """The definition, for one text: every token scored, messages passed one by one until they rest, best label by belief."""
+    m, g = pii.trained(), pii.build([text])
+    n, k = len(g.doc), len(LABELS)
+    u = np.array([m.w[f].sum(axis=0) for f in g.features], float).reshape(n, k)
+    links = [(i - 1, i, m.t.astype(float)) for i in range(1, n)] + [(a, b, m.s.astype(float)) for a, b in g.skip.tolist()]
+    msg = {(a, b, j): np.full(k, 1 / k) for j, (a, b, _) in enumerate(links)} | {(b, a, j): np.full(k, 1 / k) for j, (a, b, _) in enumerate(links)}
+    near = {i: [] for i in range(n)}
+    for a, b, j in msg:
+        near[b].append((a, b, j))
+    for _ in range(60):
+        new = {}
+        for a, b, j in msg:
+            x = u[a] + sum(np.log(msg[e]) for e in near[a] if e != (b, a, j))
+            p = np.exp(links[j][2] if (a, b) == links[j][:2] else links[j][2].T)
+            out = np.exp(x - x.max()) @ p
+            new[a, b, j] = 0.5 * out / out.sum() + 0.5 * msg[a, b, j]
+        moved = max((np.abs(new[e] - msg[e]).max() for e in msg), default=0)
+        msg = new
+        if moved < 1e-6:
+            break
+    y = [int((u[i] + sum(np.log(msg[e]) for e in near[i])).argmax()) for i in range(n)]
+    out = []
+    for i, c in enumerate(y):
+        if c:
+            a, b = int(g.start[i]), int(g.end[i])
+            if out and out[-1][2] == LABELS[c] and text[out[-1][1] : a] in ("", " "):
+                out[-1] = (out[-1][0], b, LABELS[c])
+            else:
+                out.append((a, b, LABELS[c]))
+    return out
+
+
+def test_detection_is_that_of_a_plain_loop():
+    texts, _ = corpus(25, seed=77)
+    texts = [t[:500] for t in texts] + ["", " ", "Dr. Zorblat came and Zorblat left, then ZORBLAT of 10.20.30.40 wrote."]
+    assert pii.entities(pii.trained(), texts) == [plain_detect(t) for t in texts]
 
 
 def spread(form, n, at, lead="Dr. ", filler="and so on it went with all of the others there " * 3):
@@ -215,19 +412,42 @@ def spread(form, n, at, lead="Dr. ", filler="and so on it went with all of the o
 @pytest.mark.parametrize("n,at", [(50, 0), (50, 25), (50, 49), (400, 0)])
 def test_an_introduction_reaches_all_mentions(n, at):
     text = spread("Zorblat", n, at)
-    found = pii.entities(pii.trained(), [text], [True])[0]
+    found = pii.entities(pii.trained(), [text])[0]
     assert [(text[a:b], label) for a, b, label in found] == [("Zorblat", "PERSON")] * n
 
 
 @pytest.mark.parametrize("lead,name,later", [
     ("Name: ", "Zorblat", "Zorblat"), ("Name ", "Zorblat", "Zorblat"), ("Dr.\t", "Zorblat", "Zorblat"), ("my name\nis ", "Zorblat", "Zorblat"), ("Dr. ", "Zorblat", "ZORBLAT"), ("Mr ", "ZORBLAT", "Zorblat"), ("Dr. ", "Li", "Li"), ("Dr. ", "Li", "LI"), ("Mr ", "O'Brien", "O'Brien"), ("Mr ", "O’Brien", "O’BRIEN"),
-    ("Mrs ", "Kordel-Zorblat", "Zorblat"), ("Herr ", "von Zorblat", "Zorblat"), ("Mr. ", "J. P. Zorblat", "Zorblat"), ("Dr ", "Anna Maria Zorblat", "Zorblat"), ("Name: ", "Éric", "Éric"),
+    ("Mrs ", "Kordel-Zorblat", "Zorblat"), ("Herr ", "von Zorblat", "Zorblat"), ("Mr. ", "J. P. Zorblat", "Zorblat"), ("Dr ", "Anna Maria Zorblat", "Zorblat"), ("Name: ", "Éric", "Éric"), ("Frau ", "Zörblat", "Zorblat"), ("", "Maria Zorblat", "Zorblat"), ("with ", "Peter Kordel-Zorblat", "Zorblat's"),
 ])
-def test_later_mentions_are_opened_and_found(lead, name, later):
+def test_later_mentions_are_found(lead, name, later):
     text = f"It went on. {lead}{name} came. " + "and so on it went " * 30 + f"then {later} left."
     ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
     at = text.rindex(later)
-    assert (at, at + len(later), "PERSON") in found
+    name = later.removesuffix("'s")
+    assert any(a == at and b >= at + len(name) and label == "PERSON" for a, b, label in found)
+
+
+def test_similar_forms_are_linked():
+    g = pii.build(["Kordel and Kördel, the KORDEL's; 12345 or (12345), then Kordels."])
+    words = {w: [] for w in ("kordel", "12345")}
+    assert len(g.skip) >= 5
+    text = "Kordel and Kördel, the KORDEL's; 12345 or (12345), then Kordels."
+    for a, b in g.skip.tolist():
+        x, y = (text[g.start[i] : g.end[i]].lower().replace("ö", "o").rstrip("s") for i in (a, b))
+        assert x == y
+        words[x].append((a, b))
+    assert words["kordel"] and words["12345"]
+
+
+@pytest.mark.parametrize("text,wanted", [
+    ("Maria Schmidt lives at the old mill with her brother Peter Jones.", ["Maria Schmidt", "Peter Jones"]), ("passport no K1234567 issued", ["K1234567"]), ("his password is hunter2secretX", ["hunter2secretX"]), ("reach me under anna-lena.k@uni.students.example.museum please", ["anna-lena.k@uni.students.example.museum"]),
+    ("they rang +44 20 7946 0958 twice", ["+44 20 7946 0958"]), ("paid with 4111-1111-1111-1111 at noon", ["4111-1111-1111-1111"]), ("from host 10.0.254.3:8080 it came", ["10.0.254.3"]),
+])
+def test_forms_that_the_corpus_does_not_make(text, wanted):
+    ((_, _, found),) = pii.find(pii.trained(), pa.array([text]))
+    got = [text[a:b] for a, b, _ in found]
+    assert all(any(w in x or x in w and len(x) > 0.8 * len(w) for x in got) for w in wanted)
 
 
 @pytest.mark.parametrize("before,secret,after", [('password = "', "correcthorsebattery", '"'), ("PASSWORD: ", "correcthorsebattery", ""), ("api_key='", "QwErTyUiOpAsDfGh", "'"), ('"secret": "', "zyxwvutsrqponm", '"')])
@@ -237,8 +457,9 @@ def test_secrets_of_letters_alone(before, secret, after):
     assert [(text[a:b], label) for a, b, label in found] == [(secret, "SECRET")]
 
 
-def test_prose_about_secrets_stays():
+def test_harmless_prose_stays():
     texts = ["The key to success is no secret.", "Each token counts towards the key results of everything.", "Passwords and keys: never share them with the neighbours, nor the secret ingredient.", "A password protects."]
+    texts += ["ALL OF THIS IS WRITTEN IN LARGE LETTERS!! AND GOES ON AND ON!!", "Zorblat Zorblat Zorblat Zorblat Zorblat Zorblat", "The Old Mill stood by the River. Nobody went there in 1999.", "Retionly of it. " * 40]
     assert list(pii.find(pii.trained(), pa.array(texts))) == []
 
 
@@ -248,14 +469,11 @@ def test_words_like_a_name_stay():
     assert [text[a:b] for a, b, _ in found] == ["Li"]
 
 
-def test_propagation_goes_on_to_the_end_of_long_rows():
-    links = np.array([[i, i + 1] for i in range(59)])
-    u = np.zeros((60, 2))
-    u[0, 1] = 30.0
-    c = np.array([[4.0, 0.0], [0.0, 4.0]])
-    node = pii.propagate(u, np.zeros((0, 2), np.int64), links, c, c)[0]
-    stay = np.tanh(2.0) ** 59  # exact on a tree
-    assert abs(node[59, 1] - (1 + stay) / 2) < 1e-3
+def test_tokens_are_runs_of_letters_and_digits():
+    text = "It's 3.50€ for_x  日本語9 \u00a0 É’x\n\U00020000a!"
+    want = [m.span() for m in re.finditer(r"[^\W_]+|[^\w\s]|_", text)]
+    g = pii.build(["", text, text])
+    assert list(zip(g.start.tolist(), g.end.tolist(), g.doc.tolist())) == [(*x, d) for d in (1, 2) for x in want]
 
 
 def test_pii(spark):
