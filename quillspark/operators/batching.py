@@ -8,7 +8,7 @@ day, a project, a session) are independent and run in parallel.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
@@ -44,9 +44,21 @@ def greedy_batches(prompts: DataFrame, text: str, group: str, order: list[str],
     return rows.mapInArrow(fold, schema)
 
 
+#: Strategies of known models, in the order in which names are looked for.
+MODELS = {"llama3.2": "micro", "phi3:mini": "micro", "gemma3:4b": "micro", "mistral:7b": "small", "llama3:8b": "small", "codellama:7b": "small", "llama3:70b": "standard", "mixtral": "standard", "qwen2.5:14b": "standard"}
+
+
 def strategy_of(model: str) -> tuple[str, tuple[int, int]]:
     """Batch strategy of a model: by exact name, else by the first known name within it, else micro."""
-    known = {"llama3.2": "micro", "phi3:mini": "micro", "gemma3:4b": "micro", "mistral:7b": "small", "llama3:8b": "small", "codellama:7b": "small", "llama3:70b": "standard", "mixtral": "standard", "qwen2.5:14b": "standard"}
     low = model.lower()
-    name = known.get(low) or next((s for m, s in known.items() if m in low), "micro")
+    name = MODELS.get(low) or next((s for m, s in MODELS.items() if m in low), "micro")
     return name, STRATEGIES[name]
+
+
+def strategy_column(model: Column) -> Column:
+    """Name of the strategy of a model, as strategy_of gives it."""
+    low, out = F.lower(model), F
+    for test in (lambda m: low == m, lambda m: low.contains(m)):
+        for m, s in MODELS.items():
+            out = out.when(test(m), s)
+    return out.otherwise("micro")

@@ -70,12 +70,21 @@ def elbow(df: DataFrame, vec: str, max_k: int = 8) -> tuple[int, list[float]]:
     top = min(max_k, n // 2)
     if top < 2:
         return min(2, n), []
-    costs = [kmeans(df, vec, k, 50)[0].summary.trainingCost for k in range(2, top + 1)]
+    rows = df.select(vec).persist()  # read once, for all numbers of clusters
+    try:
+        costs = [kmeans(rows, vec, k, 50)[0].summary.trainingCost for k in range(2, top + 1)]
+    finally:
+        rows.unpersist()
     drops = [a - b for a, b in zip(costs, costs[1:])]
     bends = [a - b for a, b in zip(drops, drops[1:])]
     return (bends.index(max(bends)) + 3 if bends else 2), costs
 
 
+def clusters(df: DataFrame, cluster: str, ident: str) -> DataFrame:
+    """(cluster, n, first_seen, members in order) of assigned rows; first_seen orders clusters by their first row."""
+    return df.groupBy(cluster).agg(F.count("*").alias("n"), F.min(ident).alias("first_seen"), F.sort_array(F.collect_list(ident)).alias("members"))
+
+
 def centres(model: KMeansModel) -> list[list[float]]:
     """Cluster centres."""
     return [list(map(float, c)) for c in model.clusterCenters()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import issues as ix
 from .functions import metrics, redact, text
-from .operators import batching, clustering, compare, issues, prompts, stats
+from .operators import batching, clustering, compare, enhanced, issues, prompts, stats
 from .plans import responses
 from .schemas import CATEGORIES, TAXONOMY
 from .sources import store
@@ -99,8 +99,8 @@ def date_range_filter(spark, d):
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, min(event_id) AS low, list_sort(list_distinct(list(event_type))) AS projects FROM events GROUP BY 1")
 def group_by_day(spark, d):
     """Days with their number of rows and sorted projects."""
-    e = t(spark, d, "events")
-    return e.groupBy(F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.sort_array(F.collect_set("event_type")).alias("projects"))
+    e = t(spark, d, "events").select(F.to_date("ts").cast("string").alias("date"), "event_type", "event_id")
+    return prompts.by_day(e, "date", "event_type", ["event_id"]).select("date", "n", F.col("prompts")[0]["event_id"].alias("low"), "projects")
 
 
 @query("SELECT DISTINCT source AS project FROM documents")
@@ -568,3 +568,119 @@ def first_events(spark, d):
     """Events once per user and type: the deduplication of the watcher, in batch."""
     e = t(spark, d, "events").select(F.col("user_id").alias("project"), F.col("event_type").alias("sessionId"), F.lit("x").alias("timestamp"))
     return prompts.drop_repeated(e).select(F.col("project").alias("user_id"), F.col("sessionId").alias("event_type"))
+
+
+_MODELS = "('ollama (llama3.2)'), ('Ollama (Llama3:8b-instruct)'), ('ollama (llama3:70b)'), ('Anthropic'), ('claude (x) (y)'), ('google gemini'), ('gemini ()'), ('qwen2.5:14b'), ('my mixtral build'), ('other')"
+_STRATEGY = "CASE " + " ".join(f"WHEN m = {q(k)} THEN {q(v)}" for k, v in batching.MODELS.items()) + " " + " ".join(f"WHEN contains(m, {q(k)}) THEN {q(v)}" for k, v in batching.MODELS.items()) + " ELSE 'micro' END"
+
+
+@query(
+    rf"""WITH p AS (SELECT provider FROM (VALUES {_MODELS}) AS v(provider)), n AS (SELECT *, lower(provider) AS low, CASE WHEN regexp_matches(provider, '\([^)]+\)') THEN regexp_extract(provider, '\(([^)]+)\)', 1) ELSE provider END AS model FROM p),
+    k AS (SELECT *, lower(model) AS m FROM n) SELECT provider, model, CASE WHEN contains(low, 'ollama') THEN 'ollama' WHEN contains(low, 'anthropic') OR contains(low, 'claude') THEN 'anthropic' WHEN contains(low, 'google') OR contains(low, 'gemini') THEN 'google' ELSE 'ollama' END AS kind, {_STRATEGY} AS strategy FROM k"""
+)
+def provider_models(spark, d):
+    """Model, family and batch strategy of providers by their names."""
+    names = spark.sql(f"SELECT provider FROM VALUES {_MODELS} AS v(provider)")
+    named = names.withColumn("model", text.model_of(F.col("provider"))).withColumn("kind", text.provider_kind(F.col("provider")))
+    return named.withColumn("strategy", batching.strategy_column(F.col("model")))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS n, (SELECT list_sort(list_distinct(list(source))) FROM documents) AS projects, (SELECT list(short ORDER BY doc_id) FROM (SELECT doc_id, CASE WHEN length(text) <= 150 THEN text WHEN instr(substr(text, 1, 150), ' ') > 1 THEN regexp_extract(substr(text, 1, 150), '(?s)^(.*) ', 1) || '...' ELSE substr(text, 1, 150) || '...' END AS short FROM documents ORDER BY doc_id LIMIT 3)) AS sample")
+def dry_run(spark, d):
+    """What a run would analyse: number, projects, the first three prompts cut."""
+    return prompts.dry_run(t(spark, d, "documents").select(F.col("doc_id").alias("timestamp"), F.col("text").alias("content"), F.col("source").alias("project")))
+
+
+@query(f"SELECT id, name FROM {DIM} WHERE severity = 'high'")
+def severe_patterns(spark, d):
+    """The quiet filter."""
+    return issues.only_severe(issues.taxonomy(spark)).select("id", "name")
+
+
+@query(f"SELECT id, name FROM {DIM} WHERE contains(lower(id), 'context') OR contains(lower(name), 'context') OR contains(lower(id), 'vague') OR contains(lower(name), 'vague')")
+def context_patterns(spark, d):
+    """Patterns that speak of context or vagueness."""
+    return issues.about_context(issues.taxonomy(spark)).select("id", "name")
+
+
+@query(
+    f"""WITH b AS (SELECT conv_id // 10 AS b, id, count(*)::DOUBLE AS f FROM ({FOUND}) GROUP BY ALL),
+    m AS (SELECT id, CASE WHEN count(*) > 1 THEN floor(avg(f) + 0.5) ELSE min(f) END AS frequency, list(id || '#' || b ORDER BY b % 2, b)[1:3] AS examples FROM b GROUP BY id)
+    SELECT id, frequency, severity, examples FROM m JOIN {DIM} USING (id) ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, frequency DESC, id LIMIT 5"""
+)
+def merge_with_cached(spark, d):
+    """Cached batches, those of even number, before new ones, as one result."""
+    b = _batches(spark, d)
+    return issues.merge_with_cached(b.filter("pos % 2 = 0"), b.filter("pos % 2 = 1")).select("id", "frequency", "severity", "examples")
+
+
+@query("SELECT id, conv_id // 10 AS batch FROM (" + FOUND + ") WHERE conv_id // 10 = 1 GROUP BY ALL")
+def merge_single(spark, d):
+    """One new batch without cached ones is left as it is, without limits."""
+    b = _batches(spark, d)
+    return issues.merge_with_cached(b.filter("false"), b.filter("pos = 1")).select("id", F.col("pos").alias("batch"))
+
+
+_NOW = 1_700_000_000_000
+_CACHED = ["o_orderkey % 500 AS key", "o_orderpriority AS model", "o_orderkey % 3 AS prompt_count", f"{_NOW} - (o_orderkey % 17) * 86400000 AS cached_at", "o_orderkey AS result"]
+_CACHE = f"SELECT {', '.join(_CACHED)} FROM orders"
+
+
+@query(f"WITH c AS ({_CACHE}), r AS (SELECT c_custkey AS ask, c_custkey % 500 AS key, '1-URGENT' AS model, c_custkey % 3 AS prompt_count FROM customer) SELECT ask, result FROM r JOIN c ON r.key = c.key AND r.model = c.model AND r.prompt_count = c.prompt_count AND {_NOW} - cached_at <= {store.TTL_MS}")
+def fresh_batches(spark, d):
+    """Requests with a cached result of the same key, model and number that isn't too old."""
+    asked = t(spark, d, "customer").selectExpr("c_custkey ask", "c_custkey % 500 key", "'1-URGENT' model", "c_custkey % 3 prompt_count")
+    return store.fresh_batches(asked, t(spark, d, "orders").selectExpr(*_CACHED), _NOW).select("ask", "result")
+
+
+@query(f"SELECT key, max(cached_at) AS cached_at, count(*) FILTER ({_NOW} - cached_at <= {store.TTL_MS}) AS live FROM ({_CACHE}) GROUP BY key")
+def cache_entries(spark, d):
+    """The newest entry of each key, and how many are within their time to live."""
+    c = t(spark, d, "orders").selectExpr(*_CACHED)
+    live = store.unexpired(c, _NOW).groupBy("key").agg(F.count("*").alias("live"))
+    return store.newest(c).select("key", "cached_at").join(live, "key", "left").select("key", "cached_at", F.coalesce("live", F.lit(0)).alias("live"))
+
+
+@query(r"SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - 7 AS VARCHAR) AS week, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS month FROM orders")
+def days_before(spark, d):
+    """A week and a month before each order."""
+    day = F.to_date("o_orderdate")
+    return t(spark, d, "orders").select("o_orderkey", compare.week_ago(day).cast("string").alias("week"), compare.month_ago(day).cast("string").alias("month"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') END AS date, event_type AS project, event_type AS other FROM events")
+def days_and_projects(spark, d):
+    """Days of times as text, and projects of paths."""
+    e = t(spark, d, "events")
+    stamp = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("no time "), F.col("event_id").cast("string"))).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    inside, alone = F.concat(F.lit("/home/projects/"), "event_type", F.lit("/projects/x.jsonl")), F.concat(F.lit("/logs/"), "event_type", F.lit(".jsonl"))
+    return e.select("event_id", text.extract_date(stamp).alias("date"), text.project_of(inside).alias("project"), text.project_of(alone).alias("other"))
+
+
+@query(f"SELECT id, CASE severity WHEN 'high' THEN '🔴' WHEN 'medium' THEN '🟡' ELSE '🟢' END AS icon FROM {DIM}")
+def severity_icons(spark, d):
+    """The mark of each issue."""
+    return issues.taxonomy(spark).select("id", text.severity_icon(F.col("severity")).alias("icon"))
+
+
+@query(
+    f"""WITH s AS ({SQL["specificity"]}), l AS ({SQL["lexical_complexity"]}), f AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20), w AS (SELECT *, {TRIM} AS t FROM documents)
+    SELECT (SELECT count(*) FROM documents) AS total, (SELECT {rnd("avg(overall)", 1)} FROM s JOIN f USING (doc_id)) AS specificity, (SELECT list(overall ORDER BY doc_id) FROM s JOIN f USING (doc_id)) AS scores,
+    (SELECT {rnd("avg(unique_ratio)", 3)} FROM l JOIN f USING (doc_id)) AS complexity, (SELECT {rnd(f"avg({WORDS})", 1)} FROM w) AS words, (SELECT count(*) * 100 FROM documents) AS tokens"""
+)
+def enhanced_statistics(spark, d):
+    """Specificity and complexity of the first twenty documents, words of all."""
+    return enhanced.statistics(t(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query("SELECT * FROM (" + SQL["trend"] + ") WHERE n >= 2")
+def trend_of_history(spark, d):
+    """The trend that enriches a result, if history has two entries."""
+    found = enhanced.trend_of(daily(spark, d), "date", "score")
+    return found.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "r2")} | {"last_day": F.col("last_day").cast("string")})
+
+
+@query("SELECT label AS cluster, count(*) AS n, min(vec_id) AS first_seen, list(vec_id ORDER BY vec_id) AS members FROM embeddings GROUP BY label")
+def clusters_of_labels(spark, d):
+    """Clusters with their members, by first appearance."""
+    return clustering.clusters(t(spark, d, "embeddings"), "label", "vec_id").withColumnRenamed("label", "cluster")
