@@ -49,16 +49,16 @@ from pyspark.sql import functions as F
 
 from . import _store
 from ._store import discard, materialise, pick
-from ._vec import lean, mix, slices
+from ._vec import lean, mix, slices, trim
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 15
 #: Places of the tables: two for tokens, one for words.
 TABLES = 3
 #: Signatures that a task sorts and packs at a time, and those that a partition gets on average.
-FLUSH, PER_PARTITION = 1 << 20, 3 << 20
+FLUSH, PER_PARTITION = 1 << 20, 2 << 20
 #: Pairs compared at a time in a partition.
-EXPAND = 1 << 21
+EXPAND = 1 << 20
 
 #: texts without nulls -> tokens as uint64, repeats allowed, the hashes of two words of each, and where each text's begin
 SetMaker = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -144,14 +144,14 @@ def pack(*columns: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    """The columns of pack."""
+    """The columns of pack, in 4 bytes where they fit, else 8."""
     raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     head, at, out = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2), 8 + 16 * n, []
     for rows, width in head.tolist():
-        c = np.zeros((rows, 8), np.uint8)
+        c = np.zeros((rows, 4 if width <= 4 else 8), np.uint8)
         c[:, :width] = raw[at : at + rows * width].reshape(width, rows).T
-        out.append(c.view(np.uint64)[:, 0])
+        out.append(c.view(np.uint32 if width <= 4 else np.uint64)[:, 0])
         at += rows * width
     return out
 
@@ -196,7 +196,7 @@ def token_counts(prof: DataFrame) -> tuple[np.ndarray, int]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + unpack(x)[0]
+                total[k] = total.get(k, 0) + unpack(x)[0].astype(np.int64)
         if total:
             yield pa.record_batch({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([pack(x) for x in total.values()], pa.binary())})
 
@@ -391,10 +391,10 @@ def met(blobs: list[bytes], t: float) -> dict[str, np.ndarray]:
 
     Rows with a negative c are members of families: a is the key under which set b is to be compared, -c - 1 its side there.
     """
-    cols = [unpack(x) for x in blobs]
+    cols = [unpack(blobs.pop()) for _ in range(len(blobs))]
     sizes = np.cumsum([0] + [len(c[3]) for c in cols])
-    sig = np.concatenate([np.cumsum(c[0]) for c in cols])
-    who = np.concatenate([(c[1] + np.uint64(s)).astype(np.uint32) for c, s in zip(cols, sizes)])
+    sig = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
+    who = np.concatenate([c[1].astype(np.uint32) + np.uint32(s) for c, s in zip(cols, sizes)])
     meta = np.concatenate([c[2].astype(np.uint32) for c in cols])
     ids, n, k, family = (np.concatenate([c[j] for c in cols]).astype(np.int64) for j in range(3, 7))
     del cols
@@ -499,7 +499,10 @@ def _meet(docs: DataFrame, job: Join, prof: DataFrame) -> DataFrame:
 
     def solve(rows: pa.Table) -> pa.Table:
         out = met(rows.column("packed").to_pylist(), job.threshold)
-        return pa.table({c: pa.array(out[c]).cast(kind) for c, kind in _MET.items()})
+        done = pa.table({c: pa.array(out[c]).cast(kind) for c, kind in _MET.items()})
+        del out
+        trim()
+        return done
 
     sent = _emit(docs, job, table, n_sets, parts)
     return materialise(sent.groupBy("p").applyInArrow(solve, "a long, b long, na int, nb int, k int, c int, most int"), "met")

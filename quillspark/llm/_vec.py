@@ -34,15 +34,20 @@ def lean(run: Callable) -> Callable:
 
     def inner(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            return
+        trim()
 
     return inner
 
 
+def trim() -> None:
+    """Return to the system the memory that the worker no longer uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     h = h ^ (h >> np.uint64(30))

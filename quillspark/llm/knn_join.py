@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ._store import materialise, pick
-from ._vec import lean
+from ._vec import lean, trim
 
 K = 10
 MAX_PIVOTS = 2048
@@ -301,6 +301,8 @@ def knn_join(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "
             near = s[within(v[s], cell[s], shared.value, radius, most, np.array([c]))[:, 0]]
             out.append(local_topk(ids[mine], v[mine], limit, ids[near], v[near], k))
         q = [np.concatenate(x) for x in zip(*out)]
+        del v, out
+        trim()
         return pa.table({"id": pa.array(q[0], pa.int64()), "neighbor_id": pa.array(q[1], pa.int64()), "distance": pa.array(q[2], pa.float64())})
 
     part = sent.groupBy("g", "rc", "sc").applyInArrow(solve, "id long, neighbor_id long, distance double")

@@ -54,6 +54,8 @@ DAMPING = 0.3
 HASH = 1 << 16
 #: Tokens of a chain that one sweep goes through, and those beside a cut that give its first messages.
 SEGMENT, NEAR = 64, 8
+#: Bytes of text whose tokens make one graph, but for a longer single text.
+PART = 1 << 18
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 _PARTICLES = "van von vom der den de la del della di da do dos du le zu zum zur ter ten y e al el bin ibn".split()
@@ -569,7 +571,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for row, part in slices(b.column(1)):
+            for row, part in slices(b.column(1), PART):
                 hits = list(find(shared.value, part))
                 if hits:
                     yield pa.record_batch(
@@ -592,7 +594,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for row, part in slices(whole.column(at)):
+            for row, part in slices(whole.column(at), PART):
                 b = whole.slice(row, len(part))
                 found = list(find(shared.value, part))
                 if found:
