@@ -11,8 +11,8 @@ languages, and each batch of documents is scored by one product with it.
 
 The model is trained on at most TRAIN_PER_LANGUAGE labelled rows of each language,
 chosen by hash of doc_id. A document is rejected if it has no letter, or if every language
-disclaims it: its score is lower than that of the language's own texts with as many different
-n-grams by more than DEVIATIONS standard deviations. Mean and deviation, as functions of
+disclaims it: its score is at most DISCLAIM, and lower than that of the language's own texts with
+as many different n-grams by more than DEVIATIONS standard deviations. Mean and deviation, as functions of
 the number of n-grams, come from the labelled rows, whole and cut to their first halves,
 quarters and so on; few n-grams scatter widely, so little is held against them.
 
@@ -42,7 +42,7 @@ BUCKETS = 1 << 16
 TRAIN_PER_LANGUAGE = 400
 LANDMARKS = 128
 RIDGE = 1e-3
-DEVIATIONS = 5.0
+DISCLAIM, DEVIATIONS = -0.1, 5.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -137,7 +137,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def least_scores(model: Model, texts: list[str], labels: list[str]) -> np.ndarray:
-    """Languages by binary logarithms of numbers of n-grams: mean less DEVIATIONS deviations of the own scores of labelled texts and their beginnings."""
+    """Languages by binary logarithms of numbers of n-grams: mean less DEVIATIONS deviations of the own scores of labelled texts and their beginnings, DISCLAIM at most."""
     out = np.zeros((len(model.languages), BUCKETS.bit_length()))
     for j, language in enumerate(model.languages):
         mine = [t for t, y in zip(texts, labels) if y == language]
@@ -149,7 +149,7 @@ def least_scores(model: Model, texts: list[str], labels: list[str]) -> np.ndarra
         near = np.exp(-((at[None, :] - np.arange(out.shape[1])[:, None]) ** 2).astype(float))
         near /= near.sum(axis=1, keepdims=True)
         mean = near @ own
-        out[j] = mean - DEVIATIONS * np.sqrt(np.maximum(near @ own**2 - mean**2, 1e-4))
+        out[j] = np.minimum(DISCLAIM, mean - DEVIATIONS * np.sqrt(np.maximum(near @ own**2 - mean**2, 1e-4)))
     return out
 
 
