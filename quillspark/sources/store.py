@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.redact import sanitize
+from ..schemas import ALL_GOOD
 from .logs import exists
 
 TTL_MS = 7 * 24 * 3600 * 1000
@@ -46,9 +47,40 @@ def _overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+_PATTERN = "struct<id:string,name:string,frequency:double,severity:string,examples:array<string>,suggestion:string,before:string,after:string>"
+HISTORY = f"provider string, prompts long, projects array<string>, score double, patterns array<{_PATTERN}>, top_suggestion string, date date"
+
+
+def entries(patterns: DataFrame, totals: DataFrame, prompts: DataFrame, provider: str) -> DataFrame:
+    """Entries of history from patterns, totals and prompts by day; a day's patterns in their order, which are five at most."""
+    at = ["rank", *(c for c in ("id", "name", "frequency", "severity", "examples", "suggestion", "before", "after"))]
+    item = F.struct(*(F.col(c) if c in patterns.columns else F.lit(None).cast("string").alias(c) for c in at))
+    found = patterns.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(item)), lambda p: F.struct(*(p[c].cast("double").alias(c) if c == "frequency" else p[c].alias(c) for c in at[1:]))).alias("patterns"))
+    places = prompts.groupBy("date").agg(F.sort_array(F.collect_set("project")).alias("projects"))
+    out = totals.join(found, "date", "left").join(places, "date", "left")
+    none = F.array().cast(f"array<{_PATTERN}>")
+    out = out.select(F.lit(provider).alias("provider"), F.col("total_prompts").alias("prompts"), F.coalesce("projects", F.array().cast("array<string>")).alias("projects"), F.col("overall_score").alias("score"), F.coalesce("patterns", none).alias("patterns"), F.col("date").cast("date").alias("date"))
+    return out.withColumn("top_suggestion", F.coalesce(F.try_element_at("patterns", F.lit(1))["suggestion"], F.lit(ALL_GOOD)))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All entries that are whole; those without a provider, a score or patterns are left out. A missing store has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(HISTORY).parquet(path).filter("provider is not null and score is not null and patterns is not null and date is not null")
+
+
+def broken_history(spark: SparkSession, path: str) -> list[str]:
+    """Warnings for days whose entry isn't whole."""
+    if not exists(spark, path):
+        return []
+    bad = spark.read.schema(HISTORY).parquet(path).filter("provider is null or score is null or patterns is null").select(F.col("date").cast("string")).distinct().orderBy("date")
+    return [f"the entry of {r.date} is not whole and is left out" for r in bad.limit(100).collect()]
+
+
 def load_history(spark: SparkSession, path: str, date: str) -> DataFrame:
-    """Entry of one day: a read of its partition alone."""
-    return spark.read.parquet(path).filter(F.col("date") == F.lit(date).cast("date")) if exists(spark, path) else spark.createDataFrame([], "date date")
+    """Entry of one day: a read of its partition alone; no row if it is missing or not whole."""
+    return read_history(spark, path).filter(F.col("date") == F.lit(date).cast("date"))
 
 
 def list_history(history: DataFrame, provider: str | None = None, project: str | None = None, min_score: float | None = None, max_score: float | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import quillspark
 from quillspark import cli
 from quillspark.plans import pipeline, provider, report, responses, service
-from quillspark.sources import config, embeddings, logs
+from quillspark.sources import config, embeddings, logs, store
 from quillspark.streaming import tail as tail_module
 from quillspark.streaming import watch as watch_module
 
@@ -171,6 +171,44 @@ def test_cli(spark, base, tmp_path, capsys):
     assert cli.resolve(" Yesterday", date(2025, 1, 2)) == "2025-01-01"
 
 
+def test_cli_keeps_history_and_compares(spark, base, tmp_path, capsys):
+    history, results = str(tmp_path / "history"), str(tmp_path / "results")
+    assert cli.main(["history", "--history", history], spark) == 0 and "No history yet" in capsys.readouterr().out
+    assert cli.main(["analyze", base, "--history", history, "--results", results], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["history", "--history", history], spark) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert len(lines) == 2 and lines[0] > lines[1]
+    days = sorted(x[:10] for x in lines)
+    assert cli.main(["history", "--history", history, "--min-score", "11"], spark) == 0 and "No history yet" in capsys.readouterr().out
+    assert cli.main(["compare", "--history", history, "--from", days[0], "--to", days[1]], spark) == 0 and "# Comparison" in capsys.readouterr().out
+    assert cli.main(["compare", "--history", history, "--from", days[0], "--to", "2020-01-01"], spark) == cli.NO_DATA
+    assert cli.main(["analyze", base, "--results", results], spark) == 0 and "All prompts are analysed" in capsys.readouterr().out
+    assert cli.main(["dry-run", base], spark) == 0 and "prompts" in capsys.readouterr().out
+    for wrong in (["history"], ["compare", "--history", "h"], ["watch", base], ["watch", base, "--results", "r", "--date", "today"], ["analyze", base, "--quiet"], ["rules", "--min-score", "1"]):
+        assert cli.main(wrong, spark) == cli.ERROR
+
+
+def test_history_leaves_out_what_is_not_whole(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert store.read_history(spark, path).count() == 0 and store.broken_history(spark, path) == []
+    spark.createDataFrame([("offline", None, "2025-01-01")], "provider string, score double, date string").write.partitionBy("date").parquet(path)
+    assert store.load_history(spark, path, "2025-01-01").count() == 0 and store.broken_history(spark, path) == ["the entry of 2025-01-01 is not whole and is left out"]
+
+
+def test_cli_watch(spark, base, tmp_path, capsys):
+    import threading
+
+    def add():
+        time.sleep(6)
+        with open(base + "/app/a.jsonl", "a") as f:
+            f.write(line("fix it", ts="2025-01-23T10:00:00Z") + "\n")
+
+    threading.Thread(target=add, daemon=True).start()
+    assert cli.main(["watch", base, "--results", str(tmp_path / "r"), "--seconds", "30"], spark) == 0
+    assert "2025-01-23 high: " in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
 def test_config(tmp_path):
     (tmp_path / config.NAME).write_text('{"context": {"role": "dev"}, "rules": {"vague": {"severity": "low"}}}')
     deep = tmp_path / "a" / "b"
