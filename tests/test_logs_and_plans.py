@@ -199,14 +199,25 @@ def test_history_leaves_out_what_is_not_whole(spark, tmp_path):
 def test_cli_watch(spark, base, tmp_path, capsys):
     import threading
 
+    results = str(tmp_path / "r")
+
     def add():
-        time.sleep(6)
+        for _ in range(200):  # once the stream runs, a line is added; once it is stored, the stream is ended
+            time.sleep(0.5)
+            if any(q.lastProgress is not None for q in spark.streams.active):
+                break
         with open(base + "/app/a.jsonl", "a") as f:
             f.write(line("fix it", ts="2025-01-23T10:00:00Z") + "\n")
+        for _ in range(200):
+            time.sleep(0.5)
+            if logs.exists(spark, results + "/date=2025-01-23"):
+                break
+        for q in spark.streams.active:
+            q.stop()
 
     threading.Thread(target=add, daemon=True).start()
-    assert cli.main(["watch", base, "--results", str(tmp_path / "r"), "--seconds", "30"], spark) == 0
-    assert "2025-01-23 high: " in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "r")).count() == 1
+    assert cli.main(["watch", base, "--results", results, "--seconds", "180"], spark) == 0
+    assert "2025-01-23 high: " in capsys.readouterr().out and spark.read.parquet(results).count() == 1
 
 
 def test_config(tmp_path):
