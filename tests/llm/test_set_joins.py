@@ -154,6 +154,37 @@ def test_families_leave_no_pair_out(spark):
     assert len(set(got.values())) < 20 and all(got[a] == got[b] for a, b in want)
 
 
+def test_variants_beyond_a_posting_are_families(spark, monkeypatch):
+    """Variants of one text, more than the bound of rare tokens, meet in families, and the other candidates come in portions."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"y{i}z{j}" for j in range(30)) for i in range(300)]
+    for _ in range(300):
+        w = [f"w{i}" for i in range(120)]
+        for j in r.integers(0, 120, int(r.integers(0, 9))):
+            w[j] = f"x{r.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    job = _setjoin.Join(partial(ngram_join.grams, n=2), 0.65, posting=200)
+    table, n = _setjoin.token_counts(_setjoin.profile(d, job))
+    blobs = [x.packed for x in _setjoin._emit(d, job, table, n, 1).collect()]
+
+    def tallied(expand):
+        monkeypatch.setattr(_setjoin, "EXPAND", expand)
+        each = [x for x in _setjoin.met(list(blobs), 0.65) if (x["c"] > 0).any()]
+        total = Counter()
+        for x in each:
+            for a, b, c in zip(x["a"].tolist(), x["b"].tolist(), x["c"].tolist()):
+                total[a, b] += c
+        return total, [len(x["a"]) for x in each]
+
+    whole, _ = tallied(1 << 19)
+    parts, sizes = tallied(200)
+    assert parts == whole and len(sizes) > 3 and max(sizes) < 1500
+    want = brute_pairs(list(enumerate(texts)), lambda x: gram_set(x, 2), 0.65)
+    assert len(whole) < 0.25 * 300 * 299 / 2 < len(want)
+    assert collected(_setjoin.pairs(d, job)) == want
+
+
 def test_blocks_of_a_family_meet_once(monkeypatch):
     """Each two sets of fitting lengths share exactly one key, with sides that compare them."""
     monkeypatch.setattr(_setjoin, "BLOCK", 7)
