@@ -3,10 +3,12 @@
 from collections import Counter
 from functools import partial
 
+import duckdb
 import numpy as np
 import pytest
 
 from quillspark.llm import _setjoin, _store, ngram_join, spotsigs
+from quillspark.llm.queries import queries
 
 from .util import WORD, brute_pairs, docs, empty, gram_set, local
 
@@ -202,6 +204,51 @@ def test_blocks_of_a_family_meet_once(monkeypatch):
                 assert len(shared) >= 1 and len(set(shared)) == len(shared)
 
 
+def rows_of(pairs, ids):
+    """{doc_id: (class_id, links)} from {(a, b): jaccard} of documents with one text each."""
+    low, links = {i: i for i in ids}, Counter(i for p in pairs for i in p)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return {i: (low[i], links[i]) for i in ids}
+
+
+def classed(df):
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: (r.class_id, r.links) for r in rows}
+
+
+def in_sql(sql, data):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet/*.parquet'")
+    return {i: (k, n) for i, k, n in c.execute(sql).fetchall()}
+
+
+def test_ngram_classes(spark, tmp_path):
+    """One row per document however many copies it has; its links are those of all pairs."""
+    r = np.random.default_rng(11)
+    texts = []
+    for k in range(200):
+        w = [f"w{i}" for i in range(60)]
+        for j in r.integers(0, 60, int(r.integers(0, 9))):
+            w[j] = f"x{r.integers(0, 10**6)}"
+        texts += [" ".join(w)] * (30 if k == 0 else 1)
+    d = spark.createDataFrame([*local(docs(spark)), *enumerate(texts, 100)], "doc_id long, text string")
+    rows = local(d)
+    want = rows_of(brute_pairs(rows, lambda x: gram_set(x, ngram_join.N), ngram_join.THRESHOLD), {i for i, _ in rows if i is not None})
+    got = classed(ngram_join.similar_classes(d))
+    assert got == want and want[4] == (4, 0) and want[100][1] > 29
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert in_sql(ngram_join.ORACLE, tmp_path) == want
+    assert classed(ngram_join.similar_classes(empty(spark))) == {}
+    assert queries()["op2_ngram_join"](spark, str(tmp_path)).columns == ["doc_id", "class_id", "links"]
+
+
 def test_duplicate_groups(spark):
     d = docs(spark)
     pairs = brute_pairs(local(d), lambda x: gram_set(x, ngram_join.N), ngram_join.THRESHOLD)
