@@ -10,7 +10,7 @@ import pytest
 from quillspark.llm import _setjoin, _store, ngram_join, spotsigs
 from quillspark.llm.queries import queries
 
-from .util import WORD, brute_pairs, docs, empty, gram_set, local
+from .util import BASE, FRENCH, WORD, brute_pairs, docs, empty, gram_set, local
 
 
 def as_sets(*tokens):
@@ -271,3 +271,15 @@ def test_fingerprints(spark):
     want = brute_pairs(local(d), spot_set, spotsigs.THRESHOLD)
     assert collected(spotsigs.fingerprint_pairs(d)) == want and (10, 11) in want and (6, 13) in want
     assert collected(spotsigs.fingerprint_pairs(empty(spark))) == {}
+
+
+def test_fingerprint_classes(spark, tmp_path):
+    """One row per document however many copies it has; its links are those of all pairs."""
+    rows = local(docs(spark)) + [(100 + i, FRENCH if i % 3 else BASE) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = rows_of(brute_pairs(rows, spot_set, spotsigs.THRESHOLD), {i for i, _ in rows if i is not None})
+    got = classed(spotsigs.fingerprint_classes(d))
+    assert got == want and want[4] == (4, 0) and want[101] == (6, 21)
+    d.distinct().write.parquet(f"{tmp_path}/documents.parquet")  # the SQL reads repeated rows as one text
+    assert in_sql(spotsigs.ORACLE, tmp_path) == want
+    assert queries()["op3_fingerprints"](spark, str(tmp_path)).columns == ["doc_id", "class_id", "links"]
